@@ -87,8 +87,8 @@ class DigestIndex:
     def collisions(self, batch: DataFrame, text_col: str) -> DataFrame:
         """Digests under which different texts lie, by comparing the texts of all hits byte for byte."""
         rows = batch.select(digest(F.col(text_col), self.bits).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        rows = self.may_hit(rows).where("maybe").drop("maybe").join(self.hits, "digest", "left_semi")
-        texts = rows.groupBy("digest", "text").agg(F.count("*").alias("n"))
+        # copies are combined before the shuffle; a row that the filter let through by chance has one text
+        texts = self.may_hit(rows).where("maybe").groupBy("digest", "text").agg(F.count("*").alias("n"))
         return self.space.keep(texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "collisions")
 
 
@@ -146,12 +146,11 @@ def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     rows = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), digest(F.col(text_col)).alias("digest"))
     rows = index.may_hit(rows)
     clear = rows.where(~F.col("maybe")).select("whole.*")
-    doubtful = rows.where("maybe")
-    single = doubtful.join(index.hits, "digest", "left_anti").select("whole.*")
     tie = F.xxhash64(F.to_json("whole"))
     if keep == "largest":
         pick = F.max_by("whole", F.struct(F.col("id").isNotNull(), "id", tie))
     else:
         pick = F.min_by("whole", F.struct(F.col("id").isNull(), "id", tie))
-    stays = doubtful.join(index.hits, "digest", "left_semi").groupBy("digest", "text").agg(pick.alias("whole")).select("whole.*")
-    return clear.unionByName(single).unionByName(stays)
+    # a row that the filter let through by chance is a group of its own
+    stays = rows.where("maybe").groupBy("digest", "text").agg(pick.alias("whole")).select("whole.*")
+    return clear.unionByName(stays)
