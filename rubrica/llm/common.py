@@ -13,6 +13,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that goes to a Python worker: bounds what a worker and its executor hold at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's bound on the bytes of an Arrow batch, if it is higher; texts may be very long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rubrica.llm.common import bound_batches
+
 #: Elements whose boundaries end a line.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements without content.
@@ -194,5 +196,5 @@ def extract_text(pages: DataFrame, sigma: float = 1.0, id_col: str = "page_id",
             texts = [main_text((h.as_py() or b"").decode("utf-8", "replace"), sigma) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, "url", "text", "n_chars"])
 
-    slim = pages.select(F.col(id_col), F.col("url"), F.col(html_col).cast("binary").alias("_html"))
+    slim = bound_batches(pages).select(F.col(id_col), F.col("url"), F.col(html_col).cast("binary").alias("_html"))
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, url string, text string, n_chars long")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rubrica.llm.common import bound_batches
+
 FEATURES = (
     "log_words", "word_bytes", "upper", "symbols", "bars", "digits", "exclamations", "stops",
     "distinct", "top_word", "adjacent", "repeated_windows", "repeated_lines", "words_a_line", "beyond_ascii",
@@ -179,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, label_c
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).orderBy(F.xxhash64("_id"), "_id", "y").limit(sample_rows)
     # at most sample_rows rows of two numbers are broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "y", "_text")
+    rows = bound_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "y", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,11 +217,11 @@ def score_quality(docs: DataFrame, model: Additive, threshold: float = 0.3, id_c
             x = np.array([features(t.as_py()) for t in b.column(1)], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], [id_col, "score"])
 
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
+    slim = bound_batches(docs).select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
     scored = slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, score double")
     return scored.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Additive, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose score is under the threshold."""
-    return docs.where(scorer(model)(F.col(text_col).cast("binary")) >= threshold)
+    return bound_batches(docs).where(scorer(model)(F.col(text_col).cast("binary")) >= threshold)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import Workspace
+from rubrica.llm.common import Workspace, bound_batches
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other_ascii", "beyond_ascii")
 SYMBOLS = b"#*$%&|<>"
@@ -142,7 +142,7 @@ def references(docs: DataFrame, rules: Rules, text_col: str, lang_col: str) -> d
                     held = 0
         yield out()
 
-    slim = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("_text"))
+    slim = bound_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("_text"))
     counted = slim.mapInArrow(run, "lang string, is_class boolean, key binary, n long").groupBy("lang", "is_class", "key").agg(F.sum("n").alias("n"))
     table = Workspace(docs.sparkSession, "rules").keep(counted, "counts")
     spoken = table.where("not is_class").groupBy("lang").agg(F.sum("n").alias("words"))
@@ -200,5 +200,5 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"])
 
-    slim = docs.select(F.col(id_col), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("binary").alias("_text"))
+    slim = bound_batches(docs).select(F.col(id_col), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("binary").alias("_text"))
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubrica.llm.common import Workspace
+from rubrica.llm.common import Workspace, bound_batches
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], [id_col, "fp"])
 
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
+    slim = bound_batches(docs).select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, fp long")
 
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
+from rubrica.llm.common import bound_batches
+
 #: Pieces whose counts one worker remembers; the memo is emptied when full, which changes no result.
 MEMO = 1 << 19
 
@@ -149,6 +151,6 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
                 n_tokens.append(count(raw.decode("utf-8", "replace")) if raw else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
+    slim = bound_batches(docs).select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
     kind = slim.schema[0].dataType.simpleString()
     return slim.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
