@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rubrica.llm.common import Workspace
+from rubrica.llm.common import Workspace, bound_batches
 from rubrica.llm.tokens import vocabulary_path
 
 #: Words whose ids one worker remembers; the memo is emptied when full.
@@ -52,12 +52,16 @@ class WordIds(dict):
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def __missing__(self, word: str) -> bytes:
-        out = self.whole(word)
-        if len(self) >= MEMO:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of new words, in one call: spaces part them as other words do in a text."""
+        new = sorted(words)
+        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids, cuts = np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(new) + 1))
+        found = {w: ids[a:b].tobytes() for w, a, b in zip(new, cuts, cuts[1:], strict=False)}
+        if len(self) + len(found) > MEMO:
             self.clear()
-        self[word] = out
-        return out
+        self.update(found)
+        return found
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -69,7 +73,12 @@ class WordIds(dict):
             return self.whole(text)
         if "<|" in text and any(s in text for s in self.specials):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, LATIN_WORDS.findall(text.lower())))
+        words = LATIN_WORDS.findall(text.lower())
+        ids = list(map(self.get, words))
+        if None in ids:
+            new = self.learn({w for w, i in zip(words, ids, strict=True) if i is None})
+            ids = [new[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+        return b"".join(ids)
 
 
 _words: dict[str, WordIds] = {}
@@ -178,7 +187,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
+    slim = bound_batches(docs).select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
