@@ -177,7 +177,7 @@ class Mix:
         return rows.withColumn("shards", F.concat(always, F.coalesce(last, F.array().cast("array<int>")))).drop("drawn", "whole", "cut", "one", "one_shard", "_passes")
 
 
-def mix_plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, n_shards: int | None = None, shard_words: int = 1 << 24, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, n_shards: int | None = None, shard_words: int = 1 << 23, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source_size, target, taken, shards) of each row.
 
     size counts words (null text: 0); taken = size times the copies drawn, at
@@ -191,7 +191,7 @@ def mix_plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
-def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, n_shards: int | None = None, shard_words: int = 1 << 24, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, n_shards: int | None = None, shard_words: int = 1 << 23, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every copy drawn as a row of ``docs``'s columns, in shards that are shuffled locally.
 
     A document drawn twice is two rows. Copies of a shard are in one
@@ -200,5 +200,5 @@ def mix_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights
     mix = Mix(docs, share, cap, weights, n_shards, shard_words, seed, id_col, text_col, source_col)
     rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), mix.hash().alias("h"))
     rows = mix.draws(mix.placed(rows).select("row", "h", "sid", "block")).select("row", "h", F.posexplode("shards").alias("copy", "shard"))
-    rows = rows.repartition(mix.n_shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "h", "copy"), "h", "copy")
+    rows = rows.repartitionById(mix.n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "h", "copy"), "h", "copy")
     return rows.select("row.*")
