@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.functions import extract
-from rubrica.functions.text import NUMBER_WORDS, PUNCTUATION
+from rubrica.functions.text import NUMBER_WORDS, PUNCTUATION, let
 
 Filter = Callable[[Column], Column]
 FILTERS: dict[str, Callable[..., Filter]] = {}
@@ -44,8 +44,12 @@ def take_first_k(k: int) -> Filter:
 
 def majority(resps: Column) -> Column:
     """The most frequent element; of equally frequent ones, the first met."""
-    ranked = F.transform(F.array_distinct(resps), lambda x: F.struct((-F.size(F.filter(resps, lambda y: y == x))).alias("n"), F.array_position(resps, x).alias("at"), x.alias("x")))
-    return F.array_min(ranked)["x"]
+
+    def first(r: Column) -> Column:
+        ranked = F.transform(F.array_distinct(r), lambda x: F.struct((-F.size(F.filter(r, lambda y: y == x))).alias("n"), F.array_position(r, x).alias("at"), x.alias("x")))
+        return F.array_min(ranked)["x"]
+
+    return let(first, resps)
 
 
 @register("majority_vote")

@@ -12,6 +12,16 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _FIRST, _LAST = 0x3400, 0xD7FF
 
 
+def let(f: Callable[..., Column], *values: Column) -> Column:
+    """f(values) with each value computed once a row.
+
+    A column expression used inside a lambda is computed again for each
+    element; bound to an outer lambda's variable, it is not.
+    """
+    bound = F.array(F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values))))
+    return F.get(F.transform(bound, lambda s: f(*(s[f"v{i}"] for i in range(len(values))))), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends; Spark's trim() drops spaces only."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -90,7 +100,11 @@ def similarity(a: Column, b: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Tokens that both arrays have, with repeats. For answers; whole texts are counted relationally."""
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))))
+
+    def common(x: Column, y: Column) -> Column:
+        return F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(x, lambda z: z == t)), F.size(F.filter(y, lambda z: z == t))))
+
+    return let(common, a, b)
 
 
 def f1(common: Column, n_pred: Column, n_gold: Column) -> Column:
@@ -156,14 +170,16 @@ def token_distance(a: Column, b: Column) -> Column:
     levenshtein() compares the two strings. Exact for up to 41,984 different
     tokens a row; more raise an error.
     """
-    known = F.array_distinct(F.concat(a, b))
 
-    def spell(x: Column) -> Column:
-        codes = F.transform(x, lambda t: F.lpad(F.hex(F.array_position(known, t) + F.lit(_FIRST - 1)), 4, "0"))
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+    def distance(x: Column, y: Column, known: Column) -> Column:
+        def spell(z: Column) -> Column:
+            codes = F.transform(z, lambda t: F.lpad(F.hex(F.array_position(known, t) + F.lit(_FIRST - 1)), 4, "0"))
+            return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
-    small = F.size(known) <= _LAST - _FIRST + 1
-    return F.when(small, F.levenshtein(spell(a), spell(b))).otherwise(F.raise_error(F.lit("token_distance: too many different tokens")).cast("int"))
+        small = F.size(known) <= _LAST - _FIRST + 1
+        return F.when(small, F.levenshtein(spell(x), spell(y))).otherwise(F.raise_error(F.lit("token_distance: too many different tokens")).cast("int"))
+
+    return let(distance, a, b, F.array_distinct(F.concat(a, b)))
 
 
 def characters(c: Column) -> Column:
@@ -202,13 +218,10 @@ def difference_ratio(pred: Column, gold: Column) -> Column:
 
 def vqa_accuracy(pred: Column, answers: Column) -> Column:
     """Mean over annotators of min(1, matches among the others / 3)."""
-    where = F.sequence(F.lit(1), F.size(answers))
-
-    def without(i: Column) -> Column:
-        others = F.size(F.filter(answers, lambda a: a == pred)) - (F.element_at(answers, i) == pred).cast("int")
-        return F.least(F.lit(1.0), others / 3.0)
-
-    return F.aggregate(F.transform(where, without), F.lit(0.0), lambda s, x: s + x) / F.size(answers)
+    hits = F.size(F.filter(answers, lambda a: a == pred))
+    # an annotator who agrees has hits - 1 others that do
+    agreeing = F.least(F.lit(1.0), (hits - 1) / 3.0) * hits
+    return (agreeing + F.least(F.lit(1.0), hits / 3.0) * (F.size(answers) - hits)) / F.size(answers)
 
 
 NUMBER_WORDS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
@@ -221,3 +234,45 @@ def vqa_normalise(c: Column) -> Column:
     numbers = F.create_map(*(F.lit(x) for kv in NUMBER_WORDS.items() for x in kv))
     words = F.filter(tokens(c), lambda w: ~w.isin("a", "an", "the"))
     return F.array_join(F.transform(words, lambda w: F.coalesce(numbers[w], w)), " ")
+
+
+def sentence_bleu1(pred: Column, gold: Column, floor: float = 0.1) -> Column:
+    """Clipped unigram precision with brevity penalty; no match counts as ``floor`` matches."""
+    n = F.size(pred).cast("double")
+    hits = overlap(pred, gold).cast("double")
+    precision = F.when(hits == 0, floor / n).otherwise(hits / n)
+    brevity = F.when(n > F.size(gold), 1.0).otherwise(F.exp(1 - F.size(gold) / n))
+    return F.when((n == 0) | (hits == 0), 0.0).otherwise(precision * brevity)
+
+
+def gleu(pred: Column, gold: Column, order: int = 4) -> Column:
+    """The smaller of n-gram precision and recall, over all n-grams up to ``order``."""
+    grams = [(ngrams(pred, n), ngrams(gold, n)) for n in range(1, order + 1)]
+    hits = sum((overlap(a, b) for a, b in grams[1:]), overlap(*grams[0]))
+    most = F.greatest(sum((F.size(a) for a, _ in grams[1:]), F.size(grams[0][0])), sum((F.size(b) for _, b in grams[1:]), F.size(grams[0][1])))
+    return F.coalesce(F.try_divide(hits.cast("double"), most), F.lit(0.0))
+
+
+def squared_error(pred: Column, gold: Column) -> Column:
+    """Mean squared difference of two number arrays."""
+    return F.aggregate(F.zip_with(pred, gold, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) / F.size(gold)
+
+
+def angle_error(pred: Column, gold: Column) -> Column:
+    """Degrees between two angles, 0 to 180."""
+    d = F.pmod(pred - gold, F.lit(360.0))
+    return F.least(d, 360.0 - d)
+
+
+def positional_match(pred: Column, gold: Column) -> Column:
+    """Share of positions at which two arrays agree, over the longer one."""
+    longest = F.greatest(F.size(pred), F.size(gold))
+    same = F.size(F.filter(F.zip_with(pred, gold, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
+    return F.when(longest == 0, 1.0).otherwise(same / longest)
+
+
+def map_match(pred: Column, gold: Column) -> Column:
+    """Share of a map's target entries that the predicted map has."""
+    entries = F.map_entries(gold)
+    hits = F.size(F.filter(entries, lambda e: F.coalesce(F.element_at(pred, e["key"]) == e["value"], F.lit(False))))
+    return F.when(F.size(entries) == 0, 1.0).otherwise(hits / F.size(entries))
