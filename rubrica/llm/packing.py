@@ -57,7 +57,8 @@ class WordIds(dict):
         new = sorted(words)
         e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
         ids, cuts = np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(new) + 1))
-        found = {w: ids[a:b].tobytes() for w, a, b in zip(new, cuts, cuts[1:], strict=False)}
+        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+        found = {w: raw[a:b] for w, a, b in zip(new, cuts, cuts[1:], strict=False)}
         if len(self) + len(found) > MEMO:
             self.clear()
         self.update(found)
