@@ -166,8 +166,8 @@ def slots(layouts: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndar
     return {size: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for size, r in runs.items()}
 
 
-def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32, part, nth): each text's pieces, and their place among those of their length in their task."""
+def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, part, nth): each text's pieces, and their place among those of their length in their task; if wanted, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = word_ids(vocabulary), TaskContext.get().partitionId()
@@ -182,18 +182,21 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49
                     cut = ids[at : at + 4 * capacity]
                     n = len(cut) // 4
                     take.append(i)
-                    rest.append((p, at // 4, n, zlib.crc32(cut), part, seen[n]))
+                    rest.append((p, at // 4, n, zlib.crc32(cut), part, seen[n], cut if with_ids else None))
                     seen[n] += 1
-            columns = list(zip(*rest, strict=True)) or [()] * 6
+            columns = list(zip(*rest, strict=True)) or [()] * 7
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "piece", "start", "length", "ids_crc32", "part", "nth"])
+            arrays = [b.column(0).take(pa.array(take, pa.int32())), *(pa.array(c, k) for c, k in zip(columns[:6], kinds, strict=True))]
+            if with_ids:
+                arrays.append(pa.array([np.frombuffer(c, "<i4") for c in columns[6]], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, [id_col, "piece", "start", "length", "ids_crc32", "part", "nth", *["ids"] * with_ids])
 
     slim = bound_batches(docs).select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
-    return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids)
 
 
-def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset) of each piece.
+def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset) of each piece, and its ids if wanted.
 
     A text's ids get ``end_id`` behind them, so a null or empty text is one
     piece of length 1. Only texts longer than the capacity are cut. Ids may be
@@ -202,14 +205,14 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.
     table gives an empty one.
     """
     space = Workspace(docs.sparkSession, "packing")
-    table = space.keep(pieces(docs, capacity, vocabulary, end_id, id_col, text_col), "pieces")
+    table = space.keep(pieces(docs, capacity, vocabulary, end_id, id_col, text_col, with_ids), "pieces")
     counts = space.keep(table.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     # at most ``capacity`` rows come to the driver
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = slots(pack_lengths(histogram, capacity))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = table.join(base, ["part", "length"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = table.join(base, ["part", "length"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"), *["ids"] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,6 +225,13 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.
                 run_ = np.searchsorted(first, rank[at], "right") - 1
                 sequence[at] = bin_[run_] + rank[at] - first[run_]
                 offset[at] = off[run_]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], [*b.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset), *b.columns[6:]], [*b.schema.names[:5], "sequence_id", "offset", *["ids"] * with_ids])
 
-    return ranked.mapInArrow(run, f"`{id_col}` {ranked.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(run, f"`{id_col}` {ranked.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+
+
+def sequences(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(sequence_id, ids, spans) of pack(..., with_ids=True): whole sequences, at most the capacity long, and whose pieces lie where."""
+    parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", F.col(id_col).alias("id"), "piece", "ids"))).alias("p"))
+    spans = F.transform("p", lambda x: F.struct(x["id"].alias("id"), x["piece"].alias("piece"), x["offset"].alias("offset"), x["length"].alias("length")))
+    return parts.select("sequence_id", F.flatten("p.ids").alias("ids"), spans.alias("spans"))

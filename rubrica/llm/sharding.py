@@ -101,3 +101,16 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("key", "own", "row"))
     out = line.withColumn("number", number).join(parts, ["shard", "part"])
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("before") + F.col("number") - 1).alias("slot"))
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 8, rows_a_file: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes ``docs`` as Parquet, one folder for each shard, files and rows in slot order.
+
+    Rows find their shard by id, so ids must be unique and not null. Columns
+    of docs named shard or slot give way to the placement's.
+    """
+    placed = shard_by_bytes(docs, n_shards, id_col, text_col).select(F.col(id_col).alias("_id"), "shard", "slot")
+    docs = docs.drop("shard", "slot")
+    rows = docs.join(placed, docs[id_col] == placed["_id"]).drop("_id")
+    rows = rows.withColumn("_file", F.floor(F.col("slot") / rows_a_file)).repartition("shard", "_file").sortWithinPartitions("shard", "_file", "slot")
+    rows.drop("_file").write.partitionBy("shard").parquet(path)

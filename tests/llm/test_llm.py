@@ -340,6 +340,20 @@ def test_packing_round_trip(spark, docs, none, sf_dir):
     assert packing.pack(none).count() == 0
 
 
+def test_packed_sequences_hold_the_ids(docs):
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter(tuple(lib.encode(r[1] or "", add_special_tokens=False).ids + [0]) for r in ROWS)
+    got, streams = packing.sequences(packing.pack(docs, capacity=64, with_ids=True)).collect(), defaultdict(list)
+    for r in got:
+        assert len(r.ids) <= 64
+        for s in r.spans:
+            streams[s.id].append((s.piece, tuple(r.ids[s.offset : s.offset + s.length])))
+    unique = {r[0] for r in ROWS if r[0] is not None} - {3}
+    for d in unique:
+        assert want[tuple(x for _, ids in sorted(streams[d]) for x in ids)] > 0
+    assert sum(len(r.ids) for r in got) == sum(len(k) * n for k, n in want.items())
+
+
 def test_packing_of_counts():
     rng = random.Random(2)
     for capacity in (9, 100):
@@ -379,6 +393,15 @@ def test_shards(spark, docs, none):
     assert sharding.shard_by_bytes(none).count() == 0
 
 
+def test_written_shards(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sharding.write_shards(docs, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text) for r in docs.collect())
+    placed = {(r.doc_id, r.shard, r.slot) for r in sharding.shard_by_bytes(docs).collect()}
+    assert {(r.doc_id, r.shard, r.slot) for r in back.collect()} == placed
+
+
 def test_shards_split_a_group_larger_than_a_shard(spark):
     rows = [(i, "same text") for i in range(4000)] + [(4000 + i, "" if i % 3 == 0 else f"text {i}") for i in range(6000)]
     got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
