@@ -51,6 +51,13 @@ def point_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
+def keypoint_similarity(pred: Column, gold: Column, decay: float = 10.0) -> Column:
+    """Mean of exp(-decay * distance / sqrt(2)) over points [x, y] in the unit square; 0 if their numbers differ, or without points."""
+    near = F.zip_with(pred, gold, lambda p, q: F.exp(F.lit(-decay / 2**0.5) * point_distance(p[0], p[1], q[0], q[1])))
+    mean = F.aggregate(near, F.lit(0.0), lambda s, x: s + x) / F.size(gold)
+    return F.when((F.size(pred) == F.size(gold)) & (F.size(gold) > 0), F.coalesce(mean, F.lit(0.0))).otherwise(0.0)
+
+
 def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
     """Kilometres between two places given in degrees."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)

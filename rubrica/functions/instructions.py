@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rubrica.functions.text import strip, tokens
+from rubrica.functions.text import overlap, strip, tokens
 
 CHECKS: dict[str, Callable[..., Column]] = {}
 
@@ -70,11 +70,20 @@ def number_words(resp: Column, num_words: int, relation: str) -> Column:
     return _relation(_count(resp, r"\w+"), relation, num_words)
 
 
+def _sentences(resp: Column) -> Column:
+    """Sentences end with . ! or ? before white space or the end."""
+    return F.filter(F.split(strip(resp), r"(?<=[.!?])\s+"), lambda x: x != "")
+
+
 @register("length_constraints:number_sentences")
 def number_sentences(resp: Column, num_sentences: int, relation: str) -> Column:
-    """Sentences end with . ! or ? before white space or the end."""
-    n = F.size(F.filter(F.split(strip(resp), r"(?<=[.!?])\s+"), lambda x: x != ""))
-    return _relation(n, relation, num_sentences)
+    return _relation(F.size(_sentences(resp)), relation, num_sentences)
+
+
+@register("keywords:key_sentences")
+def key_sentences(resp: Column, key_sentences: list[str], num_sentences: int) -> Column:
+    """Exactly so many of the key sentences are sentences of the response."""
+    return F.size(F.array_intersect(F.array(*map(F.lit, key_sentences)), _sentences(resp))) == num_sentences
 
 
 @register("length_constraints:number_paragraphs")
@@ -137,6 +146,26 @@ def title(resp: Column) -> Column:
     return F.exists(F.regexp_extract_all(resp, F.lit(r"<<[^\n]+>>"), F.lit(0)), lambda x: strip(F.translate(x, "<>", "")) != "")
 
 
+@register("detectable_format:rephrase")
+def rephrased(resp: Column, original_message) -> Column:
+    """Both have a *change*, and agree but for it."""
+    change, original = r"\*.*\*", _c(original_message)
+    return resp.rlike(change) & original.rlike(change) & (F.regexp_replace(resp, change, "") == F.regexp_replace(original, change, ""))
+
+
+@register("detectable_content:rephrase_paragraph")
+def rephrased_paragraph(resp: Column, original_paragraph, low: int, high: int) -> Column:
+    """From low to high words in common, with repeats, in any case."""
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return overlap(words(resp), words(_c(original_paragraph))).between(low, high)
+
+
+@register("multi-turn:constrained_start")
+def constrained_start(resp: Column, starter: str) -> Column:
+    """Some line starts with the phrase."""
+    return resp.rlike(r"(?m)^\s*\Q" + starter.strip() + r"\E")
+
+
 @register("combination:two_responses")
 def two_responses(resp: Column) -> Column:
     """Two different texts around ******."""

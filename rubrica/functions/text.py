@@ -258,6 +258,12 @@ def squared_error(pred: Column, gold: Column) -> Column:
     return F.aggregate(F.zip_with(pred, gold, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) / F.size(gold)
 
 
+def rescaled_error(pred: Column, gold: Column, worst: float = 0.1) -> Column:
+    """1 - root of the mean squared difference over ``worst``, not under 0; 0 where the arrays can't be compared."""
+    root = F.when((F.size(pred) == F.size(gold)) & (F.size(gold) > 0), F.sqrt(squared_error(pred, gold)))
+    return F.coalesce(1 - F.least(root, F.lit(worst)) / worst, F.lit(0.0))
+
+
 def angle_error(pred: Column, gold: Column) -> Column:
     """Degrees between two angles, 0 to 180."""
     d = F.pmod(pred - gold, F.lit(360.0))

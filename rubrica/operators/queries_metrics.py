@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.functions import geometry
+from rubrica.functions import text as T
 from rubrica.functions.filters import majority
 from rubrica.operators import metrics as M
 from rubrica.operators.registry import Tables, query, rounded
@@ -262,6 +263,16 @@ def embedding_norms(t: Tables) -> DataFrame:
     return t.embeddings.groupBy("label").agg(F.round(F.stddev_pop(d), 4).alias("spread"), F.round(F.avg(d), 4).alias("mean_norm"))
 
 
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding[1:16], lambda v: v::DOUBLE) AS p, list_transform(embedding[1:16], lambda v: floor(v::DOUBLE * 10) / 10) AS g FROM embeddings)
+SELECT vec_id, round(list_avg(list_transform(range(8), lambda i: exp(-10 * sqrt(power(p[2 * i + 1] - g[2 * i + 1], 2) + power(p[2 * i + 2] - g[2 * i + 2], 2)) / sqrt(2)))), 6) AS keypoints,
+ round(1 - least(sqrt(list_avg(list_transform(range(16), lambda i: power(p[i + 1] - g[i + 1], 2)))), 0.1) / 0.1, 6) AS rescaled FROM x""")
+def sequence_errors(t: Tables) -> DataFrame:
+    p = F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double"))
+    e = t.embeddings.select("vec_id", p.alias("p"), F.transform(p, lambda v: F.floor(v * 10) / 10).alias("g"))
+    points = lambda c: F.array(*(F.array(F.col(c)[2 * i], F.col(c)[2 * i + 1]) for i in range(8)))
+    return e.select("vec_id", rounded(geometry.keypoint_similarity(points("p"), points("g")), "keypoints"), rounded(T.rescaled_error(F.col("p"), F.col("g")), "rescaled"))
+
+
 @query()
 def bootstrap_interval(t: Tables) -> DataFrame:
     return M.bootstrap(scored(t), F.col("hit"), F.col("doc_id"), ["lang"], resamples=200)

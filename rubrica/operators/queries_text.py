@@ -59,6 +59,15 @@ def wer_corpus(t: Tables) -> DataFrame:
     return p.agg(rounded(M.error_rate(T.token_distance(F.col("p"), F.col("g")), F.size("g")), "wer"))
 
 
+@query()
+def ter_corpus(t: Tables) -> DataFrame:
+    """Translation edit rate of neighbouring turns: no SQL finds the moves."""
+    p = pairs(t).select(T.tokens(F.lower("pred")).alias("p"), T.tokens(F.lower("gold")).alias("g"))
+    # few bytes but much work a row: as many tasks as a shuffle has, not as few as its bytes would fill
+    p = p.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    return p.agg(rounded(M.error_rate(arrow.translation_edits("p", "g"), F.size("g")), "ter"))
+
+
 _TOKENS = "list_filter(string_split_regex(lower({0}), '[ \\n\\t]+'), lambda x: x <> '')"
 
 
@@ -191,6 +200,19 @@ def instruction_checks(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", c["punctuation:no_comma"](r).alias("no_comma"), c["change_case:english_lowercase"](r).alias("all_lower"), c["length_constraints:number_words"](r, num_words=0, relation="at least").alias("counted"), c["startend:quotation"](r).alias("quoted"))
 
 
+@query(f"""WITH x AS (SELECT conv_id, turn, pred, gold, regexp_extract_all(lower(pred), '[\\p{{L}}\\p{{N}}_]+') AS p, regexp_extract_all(lower(gold), '[\\p{{L}}\\p{{N}}_]+') AS g FROM {_PAIRS}),
+pc AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(p) AS w FROM x) GROUP BY ALL), gc AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(g) AS w FROM x) GROUP BY ALL),
+o AS (SELECT conv_id, turn, sum(least(pc.n, gc.n)) AS c FROM pc JOIN gc USING (conv_id, turn, w) GROUP BY 1, 2)
+SELECT conv_id, turn, coalesce(c, 0) BETWEEN 2 AND 8 AS paragraph, regexp_matches(pred, '(?m)^\\s*The') AS started,
+ regexp_matches(pred, '\\*.*\\*') AND regexp_matches(gold, '\\*.*\\*') AND regexp_replace(pred, '\\*.*\\*', '', 'g') = regexp_replace(gold, '\\*.*\\*', '', 'g') AS rephrase
+FROM x LEFT JOIN o USING (conv_id, turn)""")
+def rephrase_checks(t: Tables) -> DataFrame:
+    c = instructions.CHECKS
+    r, gold = F.col("pred"), F.col("gold")
+    paragraph = c["detectable_content:rephrase_paragraph"](r, original_paragraph=gold, low=2, high=8)
+    return pairs(t).select("conv_id", "turn", paragraph.alias("paragraph"), c["multi-turn:constrained_start"](r, starter="The").alias("started"), c["detectable_format:rephrase"](r, original_message=gold).alias("rephrase"))
+
+
 @query("SELECT doc_id, CAST(greatest(0, ceil(n / 64.0)) AS BIGINT) AS windows, CAST(n AS BIGINT) AS tokens FROM (SELECT doc_id, len(regexp_extract_all(text, '[^ \\n\\t]+')) AS n FROM documents)")
 def rolling_windows(t: Tables) -> DataFrame:
     from rubrica.operators.selection import rolling_token_windows

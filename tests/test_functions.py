@@ -139,6 +139,10 @@ def test_templates(spark):
         ("change_case:english_capital", {}, "ABC 1", "Abc"),
         ("change_case:english_lowercase", {}, "abc 1", "Abc"),
         ("punctuation:no_comma", {}, "a b", "a, b"),
+        ("keywords:key_sentences", {"key_sentences": ["So it is.", "Yes."], "num_sentences": 1}, "Well. So it is.", "So it is. Yes."),
+        ("detectable_format:rephrase", {"original_message": "I *see* it"}, "I *do not see* it", "You *see* it"),
+        ("detectable_content:rephrase_paragraph", {"original_paragraph": "The sea, the sky", "low": 2, "high": 3}, "the THE sky", "the sand"),
+        ("multi-turn:constrained_start", {"starter": "I think"}, "Hm.\n I think so", "So I think"),
         ("language:response_language", {"language": "ru"}, "привет мир", "hello"),
     ],
 )
@@ -216,3 +220,72 @@ def test_tree_distance_of_random_trees():
     for _ in range(60):
         a, b = tree(rng.randint(1, 7)), tree(rng.randint(1, 7))
         assert arrow.tree_distance(a, b) == forest((parse(a),), (parse(b),)), json.dumps([a, b])
+
+
+@pytest.mark.parametrize(
+    "hyp, ref, edits",
+    [
+        ("a b c", "a b c", 0),
+        ("", "a b", 2),
+        ("a b", "", 2),
+        ("c d a b", "a b c d", 1),  # one move
+        ("x c d a b", "a b c d", 2),  # a move and a deletion
+        ("this week the saudis denied information published in the times", "saudi arabia denied this week information published in the american times", 4),
+    ],
+)
+def test_translation_edits(spark, hyp, ref, edits):
+    assert arrow.ter_edits(hyp.split(), ref.split()) == edits
+    words = lambda s: F.split(F.lit(s), " ") if s else F.array().cast("array<string>")
+    assert one(spark, arrow.translation_edits(words(hyp), words(ref))) == edits
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        up, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(up[j - 1] + (x != y), up[j] + 1, row[j - 1] + 1))
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=8), st.lists(st.sampled_from("abcd"), max_size=8))
+def test_translation_edits_lie_between_bounds(hyp, ref):
+    """Never more than plain edits; never less than the least moves and edits, found by brute force on short texts."""
+    edits, plain = arrow.ter_edits(hyp, ref), plain_edits(hyp, ref)
+    common = sum(min(hyp.count(w), ref.count(w)) for w in set(hyp))
+    assert max(len(hyp), len(ref)) - common <= edits <= plain
+    assert (edits == 0) == (hyp == ref)
+    found, columns = arrow._columns(hyp, arrow._bits(ref), len(ref))
+    assert found == plain
+    # the alignment: right words are pairs in order, and cost what the distance says
+    wrong_h, wrong_r, before = arrow._anchors(hyp, ref, columns)
+    right = [j for j in range(len(ref)) if not wrong_r[j]]
+    assert [hyp[before[j]] for j in right] == [ref[j] for j in right] and sum(not w for w in wrong_h) == len(right)
+    ends = [(-1, -1), *((before[j], j) for j in right), (len(hyp), len(ref))]
+    assert sum(max(i2 - i1, j2 - j1) - 1 for (i1, j1), (i2, j2) in zip(ends, ends[1:])) == plain
+
+
+def test_moves_match_brute_force():
+    """One step saves as much as the best of all moves of a span to a place where it stands in the reference."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(150):
+        ref = [rng.choice("abcdef") for _ in range(rng.randint(1, 7))]
+        hyp = [rng.choice("abcdef") for _ in range(rng.randint(1, 7))]
+        saved, moved = arrow._best_shift(hyp, ref)
+        distance = lambda x: plain_edits(x, ref)
+        every = [rest[:k] + span + rest[k:] for rest, span in ((hyp[:i] + hyp[j:], hyp[i:j]) for i in range(len(hyp)) for j in range(i + 1, len(hyp) + 1)) for k in range(len(rest) + 1)]
+        assert saved == distance(hyp) - distance(moved) and sorted(moved) == sorted(hyp)
+        assert 0 <= saved <= max(distance(hyp) - distance(m) for m in every)
+
+
+def test_sequence_errors(spark):
+    points = lambda *ps: F.array(*(arr(*p) for p in ps))
+    assert one(spark, geometry.keypoint_similarity(points((0.0, 0.0), (1.0, 1.0)), points((0.0, 0.0), (1.0, 1.0)))) == 1
+    assert one(spark, geometry.keypoint_similarity(points((0.0, 0.0), (0.0, 0.0)), points((0.0, 0.0), (1.0, 1.0)))) == pytest.approx((1 + math.exp(-10)) / 2)
+    assert one(spark, geometry.keypoint_similarity(points((0.0, 0.0)), points((0.0, 0.0), (1.0, 1.0)))) == 0
+    assert one(spark, T.rescaled_error(arr(0.05, 0.05), arr(0.0, 0.0))) == pytest.approx(0.5)
+    assert one(spark, T.rescaled_error(arr(1.0), arr(0.0))) == 0
+    assert one(spark, T.rescaled_error(arr(1.0, 2.0), arr(0.0))) == 0
