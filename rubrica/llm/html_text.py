@@ -84,6 +84,8 @@ class Lines(HTMLParser):
         elif tag in BLOCKS:
             self.close_implied(("p",))
         hidden, muted, box = self.state()
+        if tag == "main" and not any(x[0] in BOILERPLATE for x in self.stack):
+            muted = False  # names such as has-sidebar on it or around it speak of its neighbours
         if tag in VOID:
             self.line.tags += 1
             if tag == "br":
@@ -95,7 +97,7 @@ class Lines(HTMLParser):
             muted = True
         if not muted and tag not in ("html", "body"):
             for k, v in attrs:
-                if v and (k in ("class", "id", "role") and MARKED.search(v.lower()) or k == "style" and "display:none" in v.replace(" ", "").lower()):
+                if v and (k in ("class", "id", "role") and tag != "main" and MARKED.search(v.lower()) or k == "style" and "display:none" in v.replace(" ", "").lower()):
                     muted = True
                 elif k == "hidden" or (k == "aria-hidden" and v == "true"):
                     muted = True

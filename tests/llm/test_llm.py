@@ -294,6 +294,10 @@ def test_extraction_edge_cases(spark):
     <script>var x = "<p>no</p>";</script><footer>&copy; us</footer></body></html>"""
     p = " ".join(para.split())
     assert html_text.main_text(page) == f"Head&line\n{p}\nShort.\none\ntwo\n{p}"
+    # what names say of the main element, or of a box around it, isn't about its text
+    for around, inner in (("", "has-sidebar"), ("layout with-sidebar", "")):
+        got = html_text.main_text(f'<body><div class="{around}"><nav><p>{p}</p></nav><main class="{inner}"><h1>T</h1><p>{p}</p><div class="comments"><p>{p}</p></div></main></div></body>')
+        assert got == f"T\n{p}"
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>unclosed &lt;b&gt; <b>te&#120;t", "x"), (4, "u", "no markup at all", "x"), (4, "u", "<nav>only a menu</nav>", "x"), (5, "u", "<p>" + "word " * 200_000, "x"), (6, "u", "<div>" * 3000 + "deep", "x"), (7, "u", "<!-- <p>x</p> --><![CDATA[y]]><p a='>'>z</p", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = [r.text for r in html_text.extract_text(df).collect()]
