@@ -147,7 +147,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, id_col: s
     """``docs`` with one row of each near-duplicate class: the one of the smallest id.
 
     Ids are expected to be unique; where the smallest id repeats, its rows all
-    stay. Rows of classes without any id stay.
+    stay. Rows without an id stay, whatever their class: nothing names them.
     """
     near = near_duplicates(docs, shingle, max_distance, id_col=id_col, text_col=text_col)
     gone = near.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_gone"))
