@@ -8,7 +8,8 @@ comments). Ratios are smoothed with a Gaussian, and two clusters of the
 smoothed ratios set the threshold between content and the rest. Lines above it
 seed content regions; a region takes in the shorter lines of the same
 container, such as headings, that the parser found between or beside its
-seeds.
+seeds. The container is the page's article or main element; without one, the
+smallest element that holds most of the seeds' text.
 """
 
 from __future__ import annotations
@@ -35,10 +36,17 @@ HIDDEN = frozenset("script style head noscript template svg math object iframe c
 BOILERPLATE = frozenset("nav footer aside form button select textarea menu dialog fieldset label".split())
 #: Words in class, id and role attributes that mark boilerplate.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adbox|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|cookies?|consent|notices?|alerts?|popup|modal|overlay"
-    r"|comments?|commentlist|respond|replies|disqus|nav|navbar|navigation|navi|menu|breadcrumbs?|side|sidebar|widgets?|footer|foot|header|masthead|topbar|toolbar"
-    r"|related|recommend(?:ed|ations)?|share|sharing|social|subscribe|newsletter|signup|login|search|pagination|pager|contentinfo|complementary|skip|copyright)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])"
+    r"(?:ads?|adverts?|advertisements?|advertising|ad(?:box|slot|unit|sense)|adsbygoogle|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|cookies?|cookie(?:bar|banner|consent|notice)|gdpr|consent|notices?|alerts?|alertdialog|dialog|popup|modal|overlay|toast|paywall"
+    r"|comments?|comment(?:list|section|area)|discussion|respond|responses|replies|disqus|nav|(?:top|sub|side|main|left|right|site)nav|nav(?:bar|links)|navigation|navi|menu|menubar|breadcrumbs?|side|sidebar|rail|widgets?|(?:site|page)?footer|foot|masthead|topbar|toolbar"
+    r"|related|recommend(?:ed|ations)?|trending|outbrain|taboola|share|sharing|social|subscribe|newsletter|signup|login|search|form|pagination|pager|contentinfo|complementary|skip|copyright)(?:$|[\s_-])"
 )
+#: The same outside of an article, whose own header bears its title.
+OUTSIDE = re.compile(r"(?:^|[\s_-])(?:site|page)?header(?:$|[\s_-])")
+_HUMP = re.compile(r"([a-z0-9])([A-Z])")
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: The share of the seeds' text that a container must hold.
+MOST = 0.8
 #: Containers of which one on the page names the article.
 MAIN = frozenset(("article", "main"))
 _SPACE = re.compile(r"\s+")
@@ -50,7 +58,9 @@ _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 class Line:
     box: int  # the article or main element, or 0
     muted: bool
+    at: int = 0  # the number of the innermost element
     tags: int = 0
+    linked: int = 0  # characters of links
     parts: list[str] = field(default_factory=list)
 
     def text(self) -> str:
@@ -62,28 +72,39 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []  # element, hidden, muted, box
+        self.stack: list[tuple[str, bool, bool, int, int]] = []  # element, hidden, muted, box, number
+        self.tree: list[tuple[str, int]] = [("", 0)]  # element and parent's number of each; 0 is the page
+        self.links = 0  # open a elements
         self.boxes = 0
         self.lines: list[Line] = []
         self.line = Line(0, False)
 
-    def state(self) -> tuple[bool, bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0)
+    def state(self) -> tuple[bool, bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, False, 0, 0)
 
     def end_line(self) -> None:
-        _, muted, box = self.state()
+        _, muted, box, at = self.state()
         if any(not p.isspace() for p in self.line.parts):
             self.lines.append(self.line)
-            self.line = Line(box, muted)
+            self.line = Line(box, muted, at)
         else:  # its tags count for the next line
-            self.line = Line(box, muted, self.line.tags)
+            self.line = Line(box, muted, at, self.line.tags)
+
+    def leave(self, i: int) -> None:
+        """Closes the elements of the stack from the i-th on."""
+        self.links -= sum(x[0] == "a" for x in self.stack[i:])
+        del self.stack[i:]
+
+    def marked(self, name: str, box: int) -> bool:
+        words = _HUMP.sub(r"\1-\2", name).lower()
+        return bool(MARKED.search(words) or not box and OUTSIDE.search(words))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _CLOSES:
             self.close_implied(_CLOSES[tag])
         elif tag in BLOCKS:
             self.close_implied(("p",))
-        hidden, muted, box = self.state()
+        hidden, muted, box, parent = self.state()
         if tag == "main" and not any(x[0] in BOILERPLATE for x in self.stack):
             muted = False  # names such as has-sidebar on it or around it speak of its neighbours
         if tag in VOID:
@@ -97,14 +118,16 @@ class Lines(HTMLParser):
             muted = True
         if not muted and tag not in ("html", "body"):
             for k, v in attrs:
-                if v and (k in ("class", "id", "role") and tag != "main" and MARKED.search(v.lower()) or k == "style" and "display:none" in v.replace(" ", "").lower()):
+                if v and (k in ("class", "id", "role") and tag != "main" and self.marked(v, box) or k == "style" and "display:none" in v.replace(" ", "").lower()):
                     muted = True
                 elif k == "hidden" or (k == "aria-hidden" and v == "true"):
                     muted = True
         if tag in MAIN and not muted and not box:
             self.boxes += 1
             box = self.boxes
-        self.stack.append((tag, hidden or tag in HIDDEN, muted, box))
+        self.links += tag == "a"
+        self.tree.append((tag, parent))
+        self.stack.append((tag, hidden or tag in HIDDEN, muted, box, len(self.tree) - 1))
         if tag in BLOCKS:
             self.end_line()
         self.line.tags += 1
@@ -113,7 +136,7 @@ class Lines(HTMLParser):
         """Ends the nearest of ``tags`` that is open inside the current block."""
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in tags:
-                del self.stack[i:]
+                self.leave(i)
                 self.end_line()
                 return
             if self.stack[i][0] in BLOCKS:
@@ -124,7 +147,7 @@ class Lines(HTMLParser):
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 block = any(x[0] in BLOCKS for x in self.stack[i:])
-                del self.stack[i:]
+                self.leave(i)
                 if block:
                     self.end_line()
                 return
@@ -132,6 +155,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][1]):
             self.line.parts.append(data)
+            if self.links:
+                self.line.linked += len(data.strip())
 
     def finish(self) -> list[Line]:
         self.close()
@@ -161,6 +186,21 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def container(tree: list[tuple[str, int]], weights: dict[int, int]) -> tuple[int, set[int]]:
+    """(number, its descendants and itself): the smallest element with at least MOST of the weights in it."""
+    held = [0] * len(tree)
+    for at, w in weights.items():
+        held[at] += w
+    for n in range(len(tree) - 1, 0, -1):  # children have larger numbers than their parents
+        held[tree[n][1]] += held[n]
+    found = max((n for n in range(len(tree)) if held[n] >= MOST * held[0]), default=0)
+    inside = {found}
+    for n in range(found + 1, len(tree)):
+        if tree[n][1] in inside:
+            inside.add(n)
+    return found, inside
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article's blocks, joined by newlines; empty if there are none."""
     parser = Lines()
@@ -180,8 +220,18 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if boxes:
         chosen = [not x.muted and x.box in boxes for x in lines]
     else:
-        at = np.flatnonzero(seeds)
-        chosen = [not x.muted and at[0] <= i <= at[-1] for i, x in enumerate(lines)]
+        weights: dict[int, int] = {}
+        for x, s, t in zip(lines, seeds, texts, strict=True):
+            if s:
+                weights[x.at] = weights.get(x.at, 0) + len(t)
+        found, inside = container(parser.tree, weights)
+        whole = parser.tree[found][0] not in ("", "html", "body")
+        at = np.flatnonzero([s and x.at in inside for x, s in zip(lines, seeds, strict=True)])
+        first, last = at[0], at[-1]
+        while first and parser.tree[lines[first - 1].at][0] in HEADINGS:
+            first -= 1
+        # beside the seeds, lines of the same container belong to it unless they are mostly links
+        chosen = [not x.muted and (first <= i <= last or whole and x.at in inside and 2 * x.linked <= len(t)) for i, (x, t) in enumerate(zip(lines, texts, strict=True))]
     return "\n".join(t for t, c in zip(texts, chosen, strict=True) if c)
 
 

@@ -535,3 +535,23 @@ def test_sql_agrees(spark, sf_dir, name):
     cols = sorted(got.columns)
     order = lambda d: d[cols].sort_values(cols).reset_index(drop=True).astype(object).where(d[cols].sort_values(cols).reset_index(drop=True).notna(), None)
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
+
+
+PROSE = "The river runs past the old mill and the town that grew around it over two hundred years."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # no article element: the smallest element with most of the text, its short lines included
+        (f"<body><div id=top><ul><li><a>Home</a><li><a>About us</a></ul></div><div class=content><h1>Title</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p><p>End.</p></div><div class=footer>Mill 2020</div></body>", f"Title\n{PROSE}\nShort.\n{PROSE}\nEnd."),
+        (f"<body><div id=wrap><div><a>Home</a> <a>News</a></div><h1>Title</h1><p>{PROSE}</p><p>Fin.</p></div></body>", f"Title\n{PROSE}\nFin."),
+        (f"<body><div><a>Home</a> <a>News</a></div><h1>Title</h1><p>{PROSE}</p></body>", f"Title\n{PROSE}"),
+        # names that speak of an element's neighbours, an article's own header, and names in camel case
+        (f"<body><div class='page has-sidebar'><article><h1>Title</h1><p>{PROSE}</p></article><div class=sidebar><p>{PROSE}</p></div></div></body>", f"Title\n{PROSE}"),
+        (f"<body><header class=site-header>Mill</header><article><header class=entry-header><h1>Title</h1></header><p>{PROSE}</p><div class=adSlot>Buy</div></article></body>", f"Title\n{PROSE}"),
+        (f"<body><main><p>{PROSE}</p></main><div class=cookieBanner><p>{PROSE}</p></div><section id=commentSection><p>{PROSE} {PROSE}</p></section></body>", PROSE),
+    ],
+)
+def test_article_of_pages_of_other_shapes(page, text):
+    assert html_text.main_text(page) == text
