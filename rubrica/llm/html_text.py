@@ -45,6 +45,8 @@ MARKED = re.compile(
 OUTSIDE = re.compile(r"(?:^|[\s_-])(?:site|page)?header(?:$|[\s_-])")
 _HUMP = re.compile(r"([a-z0-9])([A-Z])")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that can hold a whole article; the empty name is the page.
+CONTAINERS = frozenset(("", "html", "body", "main", "article", "section", "div", "center", "td"))
 #: The share of the seeds' text that a container must hold.
 MOST = 0.8
 #: Containers of which one on the page names the article.
@@ -187,13 +189,13 @@ def threshold(values: np.ndarray) -> float:
 
 
 def container(tree: list[tuple[str, int]], weights: dict[int, int]) -> tuple[int, set[int]]:
-    """(number, its descendants and itself): the smallest element with at least MOST of the weights in it."""
+    """(number, its descendants and itself): the smallest container with at least MOST of the weights in it."""
     held = [0] * len(tree)
     for at, w in weights.items():
         held[at] += w
     for n in range(len(tree) - 1, 0, -1):  # children have larger numbers than their parents
         held[tree[n][1]] += held[n]
-    found = max((n for n in range(len(tree)) if held[n] >= MOST * held[0]), default=0)
+    found = max((n for n in range(len(tree)) if tree[n][0] in CONTAINERS and held[n] >= MOST * held[0]), default=0)
     inside = {found}
     for n in range(found + 1, len(tree)):
         if tree[n][1] in inside:
