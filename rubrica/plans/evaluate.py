@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields
 
 import yaml
@@ -69,6 +70,32 @@ def task_from(config: Mapping) -> Task:
     return Task(name=config["task"], **{k: v for k, v in config.items() if k in known and k != "name"})
 
 
+def parse_arguments(text: str) -> dict[str, bool | int | float | str]:
+    """Settings written as name=value,name=value; values become booleans or numbers where they read as such."""
+
+    def value(v: str) -> bool | int | float | str:
+        if v.lower() in ("true", "false"):
+            return v.lower() == "true"
+        for kind in (int, float):
+            try:
+                return kind(v)
+            except ValueError:
+                pass
+        return v
+
+    pairs = (p.partition("=") for p in text.strip().split(",") if p)
+    return {name: value(v) for name, _, v in pairs}
+
+
+def settings_for(model: str, settings: Mapping[str, object] | None) -> dict:
+    """A task's settings for one model: its own, else the default ones over those common to all."""
+    settings = dict(settings or {})
+    if model in settings:
+        return dict(settings[model])
+    common = {k: v for k, v in settings.items() if not isinstance(v, Mapping)}
+    return common | dict(settings.get("default") or settings.get("dataset") or {})
+
+
 def instances(docs: DataFrame, task: Task, mutual_info: bool = False) -> DataFrame:
     """One request for each document, or for each of its choices; with mutual information, unconditional ones too."""
     prompt, target = template.resolve(task.doc_to_text, docs.columns), template.resolve(task.doc_to_target, docs.columns).cast("string")
@@ -149,16 +176,15 @@ def judged(requests: DataFrame, answers: DataFrame, parser: Callable[[Column], C
 PROVIDERS: dict[str, Callable[[list[str]], list[str]]] = {"dummy": lambda prompts: ["1"] * len(prompts)}
 
 
-def ask(requests: DataFrame, provider: str = "dummy", batch: int = 64, prompt: str = "judge_prompt") -> DataFrame:
-    """Adds ``judge_response`` by a registered provider, in bounded batches on the executors."""
+def ask(requests: DataFrame, provider: str = "dummy", batch: int = 64, prompt: str = "judge_prompt", at_once: int = 4) -> DataFrame:
+    """Adds ``judge_response`` by a registered provider, in bounded batches on the executors, of which each task has ``at_once`` under way."""
     call = PROVIDERS[provider]
 
     def run(frames):
-        for f in frames:
-            answers: list[str] = []
-            for i in range(0, len(f), batch):
-                answers += call(list(f[prompt].iloc[i : i + batch]))
-            yield f.assign(judge_response=answers)
+        with ThreadPoolExecutor(at_once) as pool:
+            for f in frames:
+                batches = [list(f[prompt].iloc[i : i + batch]) for i in range(0, len(f), batch)]
+                yield f.assign(judge_response=[a for answers in pool.map(call, batches) for a in answers])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes)
     return requests.mapInPandas(run, f"{kinds}, judge_response string")

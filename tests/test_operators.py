@@ -173,3 +173,25 @@ def test_streaming_equals_batch(spark, sf_dir, tmp_path):
     got = {(r.start, r.event_type): r.n for r in spark.table("live").collect()}
     want = {(r.start, r.event_type): r.n for r in live.windowed_means(events, "ts", "value", "event_type").collect()}
     assert got == want
+
+
+def test_argument_strings_and_settings_for_a_model():
+    from rubrica.plans import evaluate as E
+
+    assert E.parse_arguments(" a=1,b=True,,c=0.5,d=x=y,e=-2 ") == {"a": 1, "b": True, "c": 0.5, "d": "x=y", "e": -2}
+    assert E.parse_arguments("  ") == {}
+    several = {"pre": "p", "default": {"post": "d"}, "m": {"post": "m"}}
+    assert E.settings_for("m", several) == {"post": "m"}
+    assert E.settings_for("other", several) == {"pre": "p", "post": "d"}
+    assert E.settings_for("other", None) == {}
+
+
+def test_judge_batches_keep_their_order(spark):
+    from rubrica.plans import evaluate as E
+
+    E.PROVIDERS["echo"] = lambda prompts: [p + "!" for p in prompts]
+    try:
+        rows = E.ask(spark.range(0, 50, 1, 2).selectExpr("id", "cast(id as string) as judge_prompt"), "echo", batch=3).collect()
+    finally:
+        del E.PROVIDERS["echo"]
+    assert len(rows) == 50 and all(r.judge_response == f"{r.id}!" for r in rows)
