@@ -47,10 +47,8 @@ class Rules:
     min_common_words: int = 100
     max_class_distance: float = 0.32
     max_word_distance: float = 0.335
-    #: A language with fewer words is compared with all documents together.
+    #: A language with fewer words has no reference, and its documents no distances.
     min_reference_words: int = 2000
-    #: So many languages have a reference of their own, those of the most words; the driver holds no more.
-    max_languages: int = 500
 
 
 def class_counts(raw: bytes) -> np.ndarray:
@@ -108,11 +106,12 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
 FLUSH = 300_000
 
 
-def references(docs: DataFrame, rules: Rules, text_col: str, lang_col: str) -> dict[str | None, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """language -> (class counts, common word -> place, counts of the common words and of all others); under None, of all documents.
+def references(docs: DataFrame, rules: Rules, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, words, chars, common): words in all, counts of the classes, and the most common words with their counts, of each language with enough words.
 
     Every word of every document is counted: in each task first, then over
-    all. Only each language's most common words and sums come to the driver.
+    all. The table has a row for each language and stays in the shared folder;
+    nothing of it comes to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +131,7 @@ def references(docs: DataFrame, rules: Rules, text_col: str, lang_col: str) -> d
                 raw = t.as_py() or b""
                 if lang not in words:
                     words[lang], classes[lang] = Counter(), np.zeros(len(CLASSES), np.int64)
+                    held += len(CLASSES)
                 ws = words[lang]
                 held -= len(ws)
                 ws.update(raw.split())
@@ -144,52 +144,59 @@ def references(docs: DataFrame, rules: Rules, text_col: str, lang_col: str) -> d
 
     slim = bound_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("_text"))
     counted = slim.mapInArrow(run, "lang string, is_class boolean, key binary, n long").groupBy("lang", "is_class", "key").agg(F.sum("n").alias("n"))
-    table = Workspace(docs.sparkSession, "rules").keep(counted, "counts")
-    spoken = table.where("not is_class").groupBy("lang").agg(F.sum("n").alias("words"))
-    spoken = spoken.where(F.col("lang").isNotNull() & (F.col("words") >= rules.min_reference_words)).orderBy(F.desc("words"), "lang").limit(rules.max_languages)
-    totals = {r["lang"]: r["words"] for r in spoken.collect()}
-    mine = table.where(F.col("lang").isin(list(totals)))
+    space = Workspace(docs.sparkSession, "rules")
+    table = space.keep(counted.where("lang is not null"), "counts")
+    chars = (F.coalesce(F.sum(F.when(F.col("is_class") & (F.col("key") == F.lit(str(i).encode())), F.col("n"))), F.lit(0)) for i in range(len(CLASSES)))
+    sums = table.groupBy("lang").agg(F.coalesce(F.sum(F.when(~F.col("is_class"), F.col("n"))), F.lit(0)).alias("words"), F.array(*chars).alias("chars"))
     top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
-    common = mine.where("not is_class").withColumn("place", top).where(F.col("place") <= rules.common_words).collect()
-    pooled = table.where("not is_class").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(rules.common_words).collect()
-    totals[None] = table.where("not is_class").agg(F.sum("n")).first()[0] or 0
-    chars: dict[str | None, np.ndarray] = {k: np.zeros(len(CLASSES)) for k in totals}
-    for r in mine.where("is_class").collect():
-        chars[r["lang"]][int(bytes(r["key"]))] += r["n"]
-    for r in table.where("is_class").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        chars[None][int(bytes(r["key"]))] += r["n"]
-    out = {}
-    for k, total in totals.items():
-        rows = sorted(((-r["n"], bytes(r["key"])) for r in (pooled if k is None else [r for r in common if r["lang"] == k])))
-        counts = np.array([-n for n, _ in rows] + [max(0, total + sum(n for n, _ in rows))], float)
-        out[k] = chars[k], {w: i for i, (_, w) in enumerate(rows)}, counts
-    return out
+    # at most ``common_words`` rows of a language are gathered
+    common = table.where("not is_class").withColumn("place", top).where(F.col("place") <= rules.common_words).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "key", "n"))).alias("common"))
+    known = sums.where(F.col("words") >= rules.min_reference_words).join(common, "lang", "left")
+    return space.keep(known.select("lang", "words", "chars", F.transform("common", lambda x: F.struct(x["key"].alias("key"), x["n"].alias("n"))).alias("common")), "references")
+
+
+#: References that a task remembers in decoded form.
+MEMO = 1000
 
 
 def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept) of each row.
 
-    A null text counts as empty and fails for its length. A null language, or
-    one without enough words for a reference, is compared with all documents
-    together. Distances of texts under the minimum lengths are null and reject
-    nothing. Ids may be null or repeat; other columns are ignored; an empty
-    table gives an empty one.
+    A null text counts as empty and fails for its length. Distances are null
+    and reject nothing for texts under the minimum lengths, for null languages
+    and for those without enough words for a reference: no other language's
+    words say what is usual in them. Ids may be null or repeat; other columns
+    are ignored; an empty table gives an empty one.
     """
     known = references(docs, rules, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]] = {}
+
+        def reference(b: pa.RecordBatch, i: int, lang: str) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
+            if lang not in memo:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                total, chars, common = (b.column(k)[i].as_py() for k in (3, 4, 5))
+                common = common or []
+                counts = [x["n"] for x in common]
+                memo[lang] = np.array(chars, float), {x["key"]: k for k, x in enumerate(common)}, np.array([*counts, total - sum(counts)], float)
+            return memo[lang]
+
         for b in batches:
             rows = []
-            for lang, t in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+            has = b.column(3).is_valid().to_pylist()
+            for i, (lang, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2), strict=True)):
                 raw = t.as_py() or b""
                 words, classes = raw.split(), class_counts(raw)
                 base = base_counts(raw, words, classes)
                 n, repeats = base[0], base[4]
                 failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
-                chars, places, counts = known.get(lang) or known[None]
-                of_classes = distance(classes, chars) if base[1] >= rules.min_chars else None
-                of_words = None
-                if n >= rules.min_common_words:
+                of_classes = of_words = None
+                if has[i]:
+                    chars, places, counts = reference(b, i, lang)
+                    of_classes = distance(classes, chars) if base[1] >= rules.min_chars else None
+                if has[i] and n >= rules.min_common_words:
                     mine, last = np.zeros(len(counts)), len(counts) - 1
                     for w, c in Counter(words).items():
                         mine[places.get(w, last)] += c
@@ -201,4 +208,7 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"])
 
     slim = bound_batches(docs).select(F.col(id_col), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("binary").alias("_text"))
-    return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    # Spark chooses the join by the table's size; a frequent language's rows can be split
+    known = known.withColumnRenamed("lang", "_of")
+    joined = slim.join(known, F.col("_lang") == F.col("_of"), "left").select(*slim.columns, "words", "chars", "common")
+    return joined.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")

@@ -522,6 +522,26 @@ def test_rules_keep_clean_documents(spark):
     assert sum(r.kept for r in clean) >= 0.995 * len(clean)
 
 
+def test_rules_without_an_own_reference_reject_nothing(spark):
+    """Clean French under a null, a small and a late language is judged by the base rules alone, or by its own language's words."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1").select("doc_id"), "doc_id")
+    english = docs.where("lang = 'en'").orderBy("doc_id").limit(300).select("doc_id", "text", "lang").collect()
+    french = [r for r in docs.where("lang = 'fr'").orderBy("doc_id").limit(60).collect() if len(words(r.text)) >= 100]
+    rows = [tuple(r) for r in english] + [(-1 - i, r.text, None) for i, r in enumerate(french)] + [(-1000, french[0].text[:1500], "small")]
+    got = {r.doc_id: r for r in rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    bare = [got[i] for i in got if i < 0]
+    assert len(bare) == len(french) + 1 and all(r.word_distance is None and r.class_distance is None for r in bare)
+    assert all(r.kept == (not r.base_failed) for r in bare) and any(r.kept for r in bare)
+    assert all(got[r.doc_id].word_distance is not None for r in english if len(words(r.text)) >= 100)
+
+
+def test_rules_every_language_has_its_reference(spark):
+    """More languages than any fixed number: each is compared with itself alone."""
+    rows = [(i, " ".join(f"l{i}w{j % 50}" for j in range(2000)), f"l{i:03d}") for i in range(520)]
+    got = rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    assert len(got) == 520 and all(r.word_distance == pytest.approx(0, abs=1e-9) and r.class_distance == pytest.approx(0, abs=1e-9) for r in got)
+
+
 # --- SQL
 
 
