@@ -9,7 +9,8 @@ smoothed ratios set the threshold between content and the rest. Lines above it
 seed content regions; a region takes in the shorter lines of the same
 container, such as headings, that the parser found between or beside its
 seeds. The container is the page's article or main element; without one, the
-smallest element that holds most of the seeds' text.
+element around all seeds and around the other text beside them that is neither
+muted nor mostly links.
 """
 
 from __future__ import annotations
@@ -47,8 +48,10 @@ _HUMP = re.compile(r"([a-z0-9])([A-Z])")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that can hold a whole article; the empty name is the page.
 CONTAINERS = frozenset(("", "html", "body", "main", "article", "section", "div", "center", "td"))
-#: The share of the seeds' text that a container must hold.
-MOST = 0.8
+#: Containers that are the whole page.
+PAGE = frozenset(("", "html", "body"))
+#: Elements whose text belongs to the article even directly in the page, where bare text of a box is often a site's name or imprint.
+PROSE = HEADINGS | {"p", "blockquote", "pre", "li", "dt", "dd"}
 #: Containers of which one on the page names the article.
 MAIN = frozenset(("article", "main"))
 _SPACE = re.compile(r"\s+")
@@ -188,14 +191,25 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def container(tree: list[tuple[str, int]], weights: dict[int, int]) -> tuple[int, set[int]]:
-    """(number, its descendants and itself): the smallest container with at least MOST of the weights in it."""
-    held = [0] * len(tree)
-    for at, w in weights.items():
-        held[at] += w
+def container(tree: list[tuple[str, int]], seeds: set[int], plain: set[int]) -> tuple[int, set[int]]:
+    """(number, its descendants and itself): the smallest container of all seeds, or a larger one up to the page if it holds more plain text.
+
+    ``seeds`` and ``plain`` are the elements of seeds and of lines that are neither muted nor mostly links.
+    """
+    n_seeds, n_plain = [0] * len(tree), [0] * len(tree)
+    for at in seeds:
+        n_seeds[at] += 1
+    for at in plain:
+        n_plain[at] += 1
     for n in range(len(tree) - 1, 0, -1):  # children have larger numbers than their parents
-        held[tree[n][1]] += held[n]
-    found = max((n for n in range(len(tree)) if tree[n][0] in CONTAINERS and held[n] >= MOST * held[0]), default=0)
+        n_seeds[tree[n][1]] += n_seeds[n]
+        n_plain[tree[n][1]] += n_plain[n]
+    found = max((n for n in range(len(tree)) if tree[n][0] in CONTAINERS and n_seeds[n] == n_seeds[0]), default=0)
+    up = found
+    while tree[up][0] not in PAGE:
+        if tree[up][0] in CONTAINERS and n_plain[up] > n_plain[found]:
+            found = up
+        up = tree[up][1]
     inside = {found}
     for n in range(found + 1, len(tree)):
         if tree[n][1] in inside:
@@ -222,18 +236,15 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if boxes:
         chosen = [not x.muted and x.box in boxes for x in lines]
     else:
-        weights: dict[int, int] = {}
-        for x, s, t in zip(lines, seeds, texts, strict=True):
-            if s:
-                weights[x.at] = weights.get(x.at, 0) + len(t)
-        found, inside = container(parser.tree, weights)
-        whole = parser.tree[found][0] not in ("", "html", "body")
-        at = np.flatnonzero([s and x.at in inside for x, s in zip(lines, seeds, strict=True)])
+        plain = [not x.muted and 2 * x.linked <= len(t) for x, t in zip(lines, texts, strict=True)]
+        found, inside = container(parser.tree, {x.at for x, s in zip(lines, seeds, strict=True) if s}, {x.at for x, c in zip(lines, plain, strict=True) if c})
+        whole = parser.tree[found][0] not in PAGE
+        at = np.flatnonzero(seeds)
         first, last = at[0], at[-1]
         while first and parser.tree[lines[first - 1].at][0] in HEADINGS:
             first -= 1
-        # beside the seeds, lines of the same container belong to it unless they are mostly links
-        chosen = [not x.muted and (first <= i <= last or whole and x.at in inside and 2 * x.linked <= len(t)) for i, (x, t) in enumerate(zip(lines, texts, strict=True))]
+        # beside the seeds, lines of the same container belong to it, and so does prose directly in the page, unless they are mostly links
+        chosen = [not x.muted and (first <= i <= last or c and (whole and x.at in inside or parser.tree[x.at][0] in PROSE)) for i, (x, c) in enumerate(zip(lines, plain, strict=True))]
     return "\n".join(t for t, c in zip(texts, chosen, strict=True) if c)
 
 

@@ -575,3 +575,16 @@ PROSE = "The river runs past the old mill and the town that grew around it over
 )
 def test_article_of_pages_of_other_shapes(page, text):
     assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("around", ["<body><div id=content>{}</div></body>", "<body>{}</body>", "<body><div id=page><div id=top><a>Home</a> <a>News</a></div><div>{}</div></div></body>"])
+@pytest.mark.parametrize(
+    ("parts", "text"),
+    [
+        (f"<section><h2>A</h2><p>{PROSE}</p><p>{PROSE} {PROSE}</p><p>{PROSE}</p></section><section><h2>B</h2><p>The mill closed in May.</p></section>", f"A\n{PROSE}\n{PROSE} {PROSE}\n{PROSE}\nB\nThe mill closed in May."),
+        (f"<section><h2>A</h2><p>It opened.</p></section><section><h2>B</h2><p>{PROSE} {PROSE}</p></section>", f"A\nIt opened.\nB\n{PROSE} {PROSE}"),
+        (f"<div><p>{PROSE * 8}</p></div><div><p>{PROSE}</p></div><div><p>The end.</p></div>", f"{PROSE * 8}\n{PROSE}\nThe end."),
+    ],
+)
+def test_sibling_sections_of_an_article_stay(around, parts, text):
+    assert html_text.main_text(around.format(parts)) == text
