@@ -9,6 +9,8 @@ are often one line of a document.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,43 @@ Permission is granted to anyone to use this software for any purpose, including
     ("CC0-1.0", "Licensed under CC0 1.0."),
 )
 
+_BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD3 = _BSD2.replace("\n\nTHIS", "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS")
+
+
+def _bsd_forms(name: str, text: str, heading: str) -> list[tuple[str, str]]:
+    """A text with numbers or bullets, each with and without its heading."""
+    bare = text.replace("\n\n1. ", "\n\n* ").replace("\n\n2. ", "\n\n* ").replace("\n\n3. ", "\n\n* ")
+    return [(name, head + t) for t in (text, bare) for head in ("", heading + "\n\n")]
+
+
+#: Entire licences with a file in license_texts.
+FILED = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense")
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License");'
+_MPL = ("This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this", "file, You can obtain one at http://mozilla.org/MPL/2.0/.")
+
+
+def more_known() -> list[tuple[str, str]]:
+    """Further licences and notices, in the form of KNOWN, which stays as the SQL has it."""
+    texts = {i: files("rubrica.llm").joinpath(f"license_texts/{i}.txt").read_text("utf-8") for i in FILED}
+    terms, end = texts["Apache-2.0"], "END OF TERMS AND CONDITIONS"
+    out = [*texts.items(), ("Apache-2.0", terms[: terms.index(end) + len(end)]), ("Apache-2.0", terms[: terms.index(end)])]
+    out += _bsd_forms("BSD-2-Clause", _BSD2, "BSD 2-Clause License") + _bsd_forms("BSD-3-Clause", _BSD3, "BSD 3-Clause License")
+    # the usual notices, as one line and by the line of their usual wrapping that names the licence
+    out += [("Apache-2.0", _APACHE), ("Apache-2.0", _APACHE + " you may not use this file except in compliance with the License."), ("Apache-2.0", terms[terms.index(_APACHE.split("(")[0]) :])]
+    out += [("Apache-2.0", "Licensed under the Apache License 2.0."), ("MPL-2.0", " ".join(_MPL)), ("MPL-2.0", _MPL[1])]
+    out += [(i, f"SPDX-License-Identifier: {i}") for i in ("MPL-2.0", "Unlicense", "ISC", "0BSD", "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")]
+    for i in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0"):
+        out += [(i, f"SPDX-License-Identifier: {i}{end}") for end in ("", "-only", "-or-later", "+")]
+    return out
+
+
 #: A line that only says whose the rights are.
 COPYRIGHT = r"^(copyright|c) (c |[0-9])[^\n]*$|^all rights reserved$"
 #: Known digests up to this many are broadcast; more are joined by a shuffle.
@@ -101,9 +140,9 @@ def digests_of(lines: Column) -> Column:
     return F.sha2(F.array_join(lines, " ").cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, license_id) of (identifier, text) pairs; of identifiers with one canonical text, the first by name."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(digest, license_id) of (identifier, text) pairs, by default KNOWN and more_known(); of identifiers with one canonical text, the first by name."""
+    rows = spark.createDataFrame(list(KNOWN) + more_known() if known is None else list(known), "license_id string, text string")
     return rows.select(digests_of(canonical_lines(F.col("text"))).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 

@@ -434,6 +434,23 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_entire_texts_and_usual_notices(spark):
+    import textwrap
+    from pathlib import Path
+
+    folder = Path(licenses.__file__).parent / "license_texts"
+    rows = [(p.stem, p.read_text().upper().replace("\n", " \r\n")) for p in sorted(folder.glob("*.txt"))]
+    rows += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n" + textwrap.fill(licenses._BSD3, 60)), ("BSD-2-Clause", "Copyright 2001 x\n" + licenses._BSD2)]
+    header = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'
+    notices = {"Apache-2.0": "import x\n# " + header.replace("\n", "\n# "), "MPL-2.0": "/* " + "\n * ".join(licenses._MPL) + " */\nx", "LGPL-2.1": "// SPDX-License-Identifier: LGPL-2.1-or-later\nx"}
+    data = [(f"whole {i} {k}", t) for k, (i, t) in enumerate(rows)] + [(f"line {i}", t) for i, t in notices.items()] + [("line Apache-2.0", "Prose.\n" + header.replace("\n", " "))]
+    got = licenses.scan_licenses(spark.createDataFrame(data, "doc_id string, text string")).collect()
+    assert len(got) == len(data) and len(rows) == 11
+    for r in got:
+        kind, name = r.doc_id.split()[:2]
+        assert (r.license_id if kind == "whole" else r.notices) == name, r.doc_id
+
+
 # --- 9
 
 
