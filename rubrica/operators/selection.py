@@ -54,23 +54,49 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), key)
 
 
-def fewshot_random(docs: DataFrame, pool: DataFrame, n: int, seed: int = 1234, doc_id: str = "doc_id", buckets: int = 64) -> DataFrame:
-    """(doc_id, shots): n pool rows for each document, never itself.
+def hash_numbered(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds ``_pos``, 0 and on in hash order of the key.
 
-    The pool's first ``buckets`` + n rows in hash order are the candidates,
-    so a bounded number of rows is broadcast; a document starts at its own
-    place among them.
+    Rows are numbered inside each of 256 ranges of the hash; no task sees all.
+    """
+    h = hash_order(F.col(key), seed)
+    ranged = df.withColumn("_h", h).withColumn("_range", F.shiftright("_h", 56))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
+    # at most 256 rows
+    before = sizes.select("_range", F.sum("_rows").over(Window.orderBy("_range")).alias("_upto"), "_rows")
+    before = before.select("_range", (F.col("_upto") - F.col("_rows")).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy("_h", key)) - 1
+    # broadcast: at most 256 rows
+    return ranged.withColumn("_pos", inner).join(F.broadcast(before), "_range").withColumn("_pos", F.col("_pos") + F.col("_before")).drop("_range", "_h", "_before")
+
+
+def fewshot_random(docs: DataFrame, pool: DataFrame, n: int, seed: int = 1234, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, shots): n pool rows for each document, never itself; all others if the pool has fewer.
+
+    The whole pool is numbered in hash order; each document draws n + 1
+    different positions by Floyd's method, every set of them alike, and drops
+    itself or the last one. Ids of the pool are unique.
     """
     columns = pool.columns
-    width = buckets + n + 1
-    # broadcast: at most ``width`` rows, gathered into one
-    first = pool.orderBy(hash_order(F.col(doc_id), seed), doc_id).limit(width)
-    gathered = first.agg(F.array_sort(F.collect_list(F.struct(hash_order(F.col(doc_id), seed).alias("_h"), *columns))).alias("_pool"))
-    others = F.filter("_pool", lambda x: x[doc_id] != F.col(doc_id))
-    joined = docs.join(F.broadcast(gathered)).withColumn("_pool", others)
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.greatest(F.size("_pool"), F.lit(1)))
-    turned = F.concat(F.slice("_pool", start.cast("int") + 1, F.lit(n)), F.slice("_pool", F.lit(1), F.lit(n)))
-    return joined.select(doc_id, F.transform(F.slice(F.array_distinct(turned), 1, n), lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias("shots"))
+    size = pool.agg(F.count("*").alias("_size"))
+    # broadcast: one row
+    asked = docs.select(F.col(doc_id).alias("_doc"), F.monotonically_increasing_id().alias("_row")).join(F.broadcast(size))
+    taken = F.least(F.lit(n + 1).cast("long"), F.col("_size"))
+
+    def add(drawn: Column, j: Column) -> Column:
+        t = F.pmod(F.xxhash64(F.lit(seed), F.col("_doc"), j), j + 1)
+        return F.concat(drawn, F.array(F.when(F.array_contains(drawn, t), j).otherwise(t)))
+
+    last = F.when(taken > 0, F.sequence(F.col("_size") - taken, F.col("_size") - 1)).otherwise(F.array().cast("array<bigint>"))
+    drawn = asked.select("_doc", "_row", F.explode_outer(F.aggregate(last, F.array().cast("array<bigint>"), add)).alias("_at"))
+    held = hash_numbered(pool, doc_id, seed).select("_pos", F.struct(*columns).alias("_shot"))
+    joined = drawn.join(held, F.col("_at") == F.col("_pos"), "left")
+    other = F.col("_shot").isNotNull() & ~F.col(f"_shot.{doc_id}").eqNullSafe(F.col("_doc"))
+    turn = F.xxhash64(F.lit(seed), F.col("_at"), F.col("_doc"))
+    # at most n + 1 rows of a document are gathered
+    shots = F.array_sort(F.collect_list(F.when(other, F.struct(turn.alias("_turn"), F.col("_at"), F.col("_shot")))))
+    grouped = joined.groupBy("_row").agg(F.first("_doc").alias(doc_id), shots.alias("_shots"))
+    return grouped.select(doc_id, F.transform(F.slice("_shots", 1, n), lambda x: x["_shot"]).alias("shots"))
 
 
 def fewshot_first(pool: DataFrame, n: int, doc_id: str = "doc_id") -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import sys
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -123,6 +124,21 @@ def test_fewshot(spark):
     assert len({tuple(s.doc_id for s in r.shots) for r in rows}) > 5
 
 
+def test_fewshot_draws_from_the_whole_pool(spark):
+    pool = spark.createDataFrame([(i, f"t{i}") for i in range(400)], "doc_id long, text string")
+    rows = selection.fewshot_random(pool, pool, 4).collect()
+    assert len(rows) == 400
+    drawn = Counter(s.doc_id for r in rows for s in r.shots)
+    for r in rows:
+        ids = {s.doc_id for s in r.shots}
+        assert len(ids) == len(r.shots) == 4 and r.doc_id not in ids
+    # each is drawn 4 times on average; with 400 rows of 4 draws about 7 are never drawn
+    assert len(drawn) > 380 and max(drawn.values()) < 20
+    small = pool.limit(3)
+    assert all({s.doc_id for s in r.shots} == {0, 1, 2} - {r.doc_id} for r in selection.fewshot_random(small, small, 4).collect())
+    assert [r.shots for r in selection.fewshot_random(small, pool.limit(0), 4).collect()] == [[], [], []]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("t", 0, "d", ["a"], ["a"], 1.5, 10), ("t", 1, "d", ["b"], ["c"], 2.0, 20)], "task string, doc_id long, doc string, resps array<string>, filtered_resps array<string>, target double, log_time long")
     io.write_samples(df, str(tmp_path / "s"))
