@@ -1,24 +1,32 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser is fed the page once; its events build lines,
-one for each block element, with the characters of text and the number of tags
-met. A line's ratio of text to tags is zero where the markup says that it is
-no article text (menus, headers, footers, asides, notices, adverts, forms,
-comments). Ratios are smoothed with a Gaussian, and two clusters of the
-smoothed ratios set the threshold between content and the rest. Lines above it
-seed content regions; a region takes in the shorter lines of the same
-container, such as headings, that the parser found between or beside its
-seeds. The container is the page's article or main element; without one, the
-element around all seeds and around the other text beside them that is neither
-muted nor mostly links.
+one for each block element, and count the tags met. A line's ratio is the
+number of its characters outside links for each tag, times the weight of the
+element that it lies in: 1, or 0 in elements that hold no article text (menus,
+footers, asides, forms), or NAMED where a class, id or role names such a part.
+Ratios are smoothed with a Gaussian over runs of lines of the same weight and
+article. Two clusters of the smoothed levels set the threshold: lines that
+reach it are seeds, and regions of the page are chosen by their seeds alone,
+whatever they are called.
+
+A region takes in the other lines of weight 1 of its container, such as
+headings and short paragraphs. The container is the page's article or main
+element, if these hold at least half of the seeds; else the element
+around all seeds and around the other text beside them that isn't mostly links.
+
+Names only weigh: they never say anything of an article, a main element or a
+heading, and a name around more than WHOLE of an article's text, or of the
+page's where no article stands beside it, is passed over. Boilerplate elements
+inside a line lose their text, the line stays.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +41,24 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown, or not as text.
 HIDDEN = frozenset("script style head noscript template svg math object iframe canvas audio video map title".split())
-#: Elements that hold no article text.
+#: Elements that hold no article text: weight 0.
 BOILERPLATE = frozenset("nav footer aside form button select textarea menu dialog fieldset label".split())
-#: Words in class, id and role attributes that mark boilerplate.
+#: Of these, the ones that some pages put around everything.
+WRAPPERS = frozenset(("form", "fieldset", "dialog"))
+#: Words in class, id and role attributes that name such parts.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])"
     r"(?:ads?|adverts?|advertisements?|advertising|ad(?:box|slot|unit|sense)|adsbygoogle|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|cookies?|cookie(?:bar|banner|consent|notice)|gdpr|consent|notices?|alerts?|alertdialog|dialog|popup|modal|overlay|toast|paywall"
-    r"|comments?|comment(?:list|section|area)|discussion|respond|responses|replies|disqus|nav|(?:top|sub|side|main|left|right|site)nav|nav(?:bar|links)|navigation|navi|menu|menubar|breadcrumbs?|side|sidebar|rail|widgets?|(?:site|page)?footer|foot|masthead|topbar|toolbar"
+    r"|comments?(?![_-](?:open|closed|off|on)\b)|comment(?:list|section|area)|respond|replies|disqus|nav|(?:top|sub|side|main|left|right|site)nav|nav(?:bar|links)|navigation|navi|menu|menubar|breadcrumbs?|sidebar|rail|widgets?|(?:site|page)?footer|masthead|topbar|toolbar"
     r"|related|recommend(?:ed|ations)?|trending|outbrain|taboola|share|sharing|social|subscribe|newsletter|signup|login|search|form|pagination|pager|contentinfo|complementary|skip|copyright)(?:$|[\s_-])"
 )
 #: The same outside of an article, whose own header bears its title.
 OUTSIDE = re.compile(r"(?:^|[\s_-])(?:site|page)?header(?:$|[\s_-])")
 _HUMP = re.compile(r"([a-z0-9])([A-Z])")
+#: The weight of lines in an element that a name marks.
+NAMED = 0.02
+#: A name around more than this share of the text around it marks nothing.
+WHOLE = 0.75
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that can hold a whole article; the empty name is the page.
 CONTAINERS = frozenset(("", "html", "body", "main", "article", "section", "div", "center", "td"))
@@ -54,126 +68,143 @@ PAGE = frozenset(("", "html", "body"))
 PROSE = HEADINGS | {"p", "blockquote", "pre", "li", "dt", "dd"}
 #: Containers of which one on the page names the article.
 MAIN = frozenset(("article", "main"))
+#: Elements of which names say nothing.
+NAMELESS = HEADINGS | MAIN | PAGE
 _SPACE = re.compile(r"\s+")
 #: Elements that an opening tag ends where their own end tag may be left out.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: What marks an element: nothing, its kind, a name, or a name that counts outside of articles.
+PLAIN, KIND, NAME, HEADER = range(4)
 
 
-@dataclass
 class Line:
-    box: int  # the article or main element, or 0
-    muted: bool
-    at: int = 0  # the number of the innermost element
-    tags: int = 0
-    linked: int = 0  # characters of links
-    parts: list[str] = field(default_factory=list)
+    __slots__ = ("at", "tags", "parts")
 
-    def text(self) -> str:
-        return _SPACE.sub(" ", "".join(self.parts)).strip()
+    def __init__(self, at: int, tags: int = 0):
+        self.at, self.tags = at, tags  # the number of the innermost block, and tags met
+        self.parts: list[tuple[str, int, bool]] = []  # text, innermost element, whether in a link
 
 
-class Lines(HTMLParser):
-    """Builds lines from parser events."""
+class Page(HTMLParser):
+    """Builds lines and a tree of elements from parser events. Children have larger numbers than their parents; 0 is the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int, int]] = []  # element, hidden, muted, box, number
-        self.tree: list[tuple[str, int]] = [("", 0)]  # element and parent's number of each; 0 is the page
+        self.tags, self.parent, self.mark = [""], [0], [PLAIN]
+        self.open: list[tuple[str, int, bool]] = []  # element, its number, hidden
         self.links = 0  # open a elements
-        self.boxes = 0
         self.lines: list[Line] = []
-        self.line = Line(0, False)
-
-    def state(self) -> tuple[bool, bool, int, int]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0, 0)
+        self.line = Line(0)
 
     def end_line(self) -> None:
-        _, muted, box, at = self.state()
-        if any(not p.isspace() for p in self.line.parts):
+        at = self.open[-1][1] if self.open else 0
+        if any(not p[0].isspace() for p in self.line.parts):
             self.lines.append(self.line)
-            self.line = Line(box, muted, at)
+            self.line = Line(at)
         else:  # its tags count for the next line
-            self.line = Line(box, muted, at, self.line.tags)
+            self.line = Line(at, self.line.tags)
 
     def leave(self, i: int) -> None:
         """Closes the elements of the stack from the i-th on."""
-        self.links -= sum(x[0] == "a" for x in self.stack[i:])
-        del self.stack[i:]
-
-    def marked(self, name: str, box: int) -> bool:
-        words = _HUMP.sub(r"\1-\2", name).lower()
-        return bool(MARKED.search(words) or not box and OUTSIDE.search(words))
+        self.links -= sum(x[0] == "a" for x in self.open[i:])
+        del self.open[i:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _CLOSES:
             self.close_implied(_CLOSES[tag])
         elif tag in BLOCKS:
             self.close_implied(("p",))
-        hidden, muted, box, parent = self.state()
-        if tag == "main" and not any(x[0] in BOILERPLATE for x in self.stack):
-            muted = False  # names such as has-sidebar on it or around it speak of its neighbours
         if tag in VOID:
             self.line.tags += 1
             if tag == "br":
-                self.line.parts.append(" ")
+                self.line.parts.append((" ", self.open[-1][1] if self.open else 0, False))
             elif tag == "hr":
                 self.end_line()
             return
-        if tag in BOILERPLATE or (tag == "header" and not box):
-            muted = True
-        if not muted and tag not in ("html", "body"):
-            for k, v in attrs:
-                if v and (k in ("class", "id", "role") and tag != "main" and self.marked(v, box) or k == "style" and "display:none" in v.replace(" ", "").lower()):
-                    muted = True
-                elif k == "hidden" or (k == "aria-hidden" and v == "true"):
-                    muted = True
-        if tag in MAIN and not muted and not box:
-            self.boxes += 1
-            box = self.boxes
+        hidden, at = (self.open[-1][2], self.open[-1][1]) if self.open else (False, 0)
+        mark, hidden = KIND if tag in BOILERPLATE else HEADER if tag == "header" else PLAIN, hidden or tag in HIDDEN
+        for k, v in attrs:
+            if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
+                hidden = hidden or tag not in PAGE
+            elif v and mark != KIND and tag not in NAMELESS and k in ("class", "id", "role"):
+                words = _HUMP.sub(r"\1-\2", v).lower()
+                mark = NAME if MARKED.search(words) else HEADER if OUTSIDE.search(words) else mark
         self.links += tag == "a"
-        self.tree.append((tag, parent))
-        self.stack.append((tag, hidden or tag in HIDDEN, muted, box, len(self.tree) - 1))
+        self.tags.append(tag)
+        self.parent.append(at)
+        self.mark.append(mark)
+        self.open.append((tag, len(self.tags) - 1, hidden))
         if tag in BLOCKS:
             self.end_line()
         self.line.tags += 1
 
     def close_implied(self, tags: tuple[str, ...]) -> None:
         """Ends the nearest of ``tags`` that is open inside the current block."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in tags:
                 self.leave(i)
                 self.end_line()
                 return
-            if self.stack[i][0] in BLOCKS:
+            if self.open[i][0] in BLOCKS:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         self.line.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                block = any(x[0] in BLOCKS for x in self.stack[i:])
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                block = any(x[0] in BLOCKS for x in self.open[i:])
                 self.leave(i)
                 if block:
                     self.end_line()
                 return
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][1]):
-            self.line.parts.append(data)
-            if self.links:
-                self.line.linked += len(data.strip())
+        at, hidden = self.open[-1][1:] if self.open else (0, False)
+        if not hidden:
+            self.line.parts.append((data, at, self.links > 0))
 
-    def finish(self) -> list[Line]:
+    def finish(self) -> None:
         self.close()
         self.end_line()
-        return self.lines
-
 
-def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian smoothing; the line ends repeat."""
+    def weights(self) -> tuple[list[float], list[int]]:
+        """(weight, article or main element around it, or 0) of each element."""
+        n = len(self.tags)
+        own, size, mains = [0] * n, [0] * n, [t in MAIN for t in self.tags]
+        for line in self.lines:
+            for text, at, linked in line.parts:
+                if not linked:
+                    own[at] += len(text.strip())
+        out = [False] * n  # in an element that never holds an article
+        for k in range(1, n):
+            out[k] = out[self.parent[k]] or self.mark[k] == KIND and self.tags[k] not in WRAPPERS
+            size[k] = 0 if out[k] else own[k]
+        size[0] = own[0]
+        for k in range(n - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+            mains[self.parent[k]] += mains[k]
+        weight, box = [1.0] * n, [0] * n
+        for k in range(1, n):
+            tag, mark, w, b = self.tags[k], self.mark[k], weight[self.parent[k]], box[self.parent[k]]
+            if tag == "main" and not out[k]:
+                w = 1.0  # what is said around it is about its neighbours
+            if mark == KIND or mark == NAME or mark == HEADER and not b:
+                around = size[k] > WHOLE * size[b] and (b > 0 or mains[k] == mains[0])
+                if not (around and (mark != KIND or tag in WRAPPERS) and tag != "header"):
+                    w = min(w, NAMED if mark == NAME else 0.0)
+            if tag in MAIN and w == 1.0 and not b:
+                b = k
+            weight[k], box[k] = w, b
+        return weight, box
+
+
+def smooth(ratios: np.ndarray, sigma: float, runs: list[int]) -> np.ndarray:
+    """Gaussian smoothing of each run of the given lengths; the ends of a run repeat."""
     r = max(1, round(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    return np.convolve(np.pad(ratios, r, mode="edge"), kernel / kernel.sum(), "valid")
+    kernel /= kernel.sum()
+    cuts = np.cumsum(runs)[:-1]
+    return np.concatenate([np.convolve(np.pad(x, r, mode="edge"), kernel, "valid") for x in np.split(ratios, cuts)])
 
 
 def threshold(values: np.ndarray) -> float:
@@ -191,61 +222,82 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def container(tree: list[tuple[str, int]], seeds: set[int], plain: set[int]) -> tuple[int, set[int]]:
+def container(tags: list[str], parent: list[int], seeds: set[int], plain: set[int]) -> tuple[int, set[int]]:
     """(number, its descendants and itself): the smallest container of all seeds, or a larger one up to the page if it holds more plain text.
 
-    ``seeds`` and ``plain`` are the elements of seeds and of lines that are neither muted nor mostly links.
+    ``seeds`` and ``plain`` are the elements of seeds and of lines of weight 1 that aren't mostly links.
     """
-    n_seeds, n_plain = [0] * len(tree), [0] * len(tree)
+    n_seeds, n_plain = [0] * len(tags), [0] * len(tags)
     for at in seeds:
         n_seeds[at] += 1
     for at in plain:
         n_plain[at] += 1
-    for n in range(len(tree) - 1, 0, -1):  # children have larger numbers than their parents
-        n_seeds[tree[n][1]] += n_seeds[n]
-        n_plain[tree[n][1]] += n_plain[n]
-    found = max((n for n in range(len(tree)) if tree[n][0] in CONTAINERS and n_seeds[n] == n_seeds[0]), default=0)
+    for n in range(len(tags) - 1, 0, -1):
+        n_seeds[parent[n]] += n_seeds[n]
+        n_plain[parent[n]] += n_plain[n]
+    found = max((n for n in range(len(tags)) if tags[n] in CONTAINERS and n_seeds[n] == n_seeds[0]), default=0)
     up = found
-    while tree[up][0] not in PAGE:
-        if tree[up][0] in CONTAINERS and n_plain[up] > n_plain[found]:
+    while tags[up] not in PAGE:
+        if tags[up] in CONTAINERS and n_plain[up] > n_plain[found]:
             found = up
-        up = tree[up][1]
+        up = parent[up]
     inside = {found}
-    for n in range(found + 1, len(tree)):
-        if tree[n][1] in inside:
+    for n in range(found + 1, len(tags)):
+        if parent[n] in inside:
             inside.add(n)
     return found, inside
 
 
+def measured(page: Page) -> tuple[list[str], list[int], list[float], list[int], list[float], list[bool]]:
+    """Of each line with text: the text, its block, weight, article, ratio, and whether it is mostly links."""
+    weight, box = page.weights()
+    texts, ats, weights, boxes, ratios, linked = [], [], [], [], [], []
+    for line in page.lines:
+        w = weight[line.at]
+        # boilerplate inside the line goes where it arrives
+        parts = [p for p in line.parts if weight[p[1]] >= w] if w else line.parts
+        text = _SPACE.sub(" ", "".join(p[0] for p in parts)).strip()
+        if not text:
+            continue
+        in_links = min(len(text), sum(len(p[0].strip()) for p in parts if p[2]))
+        texts.append(text)
+        ats.append(line.at)
+        weights.append(w)
+        boxes.append(box[line.at])
+        ratios.append(w * (len(text) - in_links) / max(1, line.tags))
+        linked.append(2 * in_links > len(text))
+    return texts, ats, weights, boxes, ratios, linked
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article's blocks, joined by newlines; empty if there are none."""
-    parser = Lines()
-    parser.feed(html or "")
-    lines = parser.finish()
-    texts = [x.text() for x in lines]
-    lines, texts = [x for x, t in zip(lines, texts, strict=True) if t], [t for t in texts if t]
-    if not lines:
-        return ""
-    ratios = np.array([0.0 if x.muted else len(t) / max(1, x.tags) for x, t in zip(lines, texts, strict=True)])
-    if not ratios.any():
+    page = Page()
+    page.feed(html or "")
+    page.finish()
+    texts, ats, weights, boxes, ratios, linked = measured(page)
+    full = np.array(weights) == 1.0
+    ratio = np.array(ratios)
+    if not ratio.any() or not full.any() and not MAIN.isdisjoint(page.tags):
         return ""
-    level = smooth(ratios, sigma)
-    # within an article the other lines have no say on the threshold's upper side
-    seeds = (level >= min(threshold(level), float(np.median(level[ratios > 0])))) & (ratios > 0)
-    boxes = {x.box for x, s in zip(lines, seeds, strict=True) if s and x.box}
-    if boxes:
-        chosen = [not x.muted and x.box in boxes for x in lines]
+    level = smooth(ratio, sigma, [len(list(g)) for _, g in groupby(zip(weights, boxes, strict=True))])
+    seeds = level >= threshold(level)
+    held = np.array([b > 0 for b in boxes])
+    if 2 * (seeds & held).sum() >= seeds.sum():
+        chosen = {b for b, s in zip(boxes, seeds, strict=True) if s and b}
+        kept = (full | seeds) & np.array([b in chosen for b in boxes])
     else:
-        plain = [not x.muted and 2 * x.linked <= len(t) for x, t in zip(lines, texts, strict=True)]
-        found, inside = container(parser.tree, {x.at for x, s in zip(lines, seeds, strict=True) if s}, {x.at for x, c in zip(lines, plain, strict=True) if c})
-        whole = parser.tree[found][0] not in PAGE
-        at = np.flatnonzero(seeds)
-        first, last = at[0], at[-1]
-        while first and parser.tree[lines[first - 1].at][0] in HEADINGS:
+        plain = full & ~np.array(linked)
+        found, inside = container(page.tags, page.parent, {at for at, s in zip(ats, seeds, strict=True) if s}, {at for at, c in zip(ats, plain, strict=True) if c})
+        whole = page.tags[found] not in PAGE
+        where = np.flatnonzero(seeds)
+        first, last = where[0], where[-1]
+        while first and page.tags[ats[first - 1]] in HEADINGS:
             first -= 1
         # beside the seeds, lines of the same container belong to it, and so does prose directly in the page, unless they are mostly links
-        chosen = [not x.muted and (first <= i <= last or c and (whole and x.at in inside or parser.tree[x.at][0] in PROSE)) for i, (x, c) in enumerate(zip(lines, plain, strict=True))]
-    return "\n".join(t for t, c in zip(texts, chosen, strict=True) if c)
+        between = np.arange(len(texts))
+        beside = np.array([whole and at in inside or page.tags[at] in PROSE for at in ats])
+        kept = seeds | full & ((first <= between) & (between <= last) | plain & beside)
+    return "\n".join(t for t, k in zip(texts, kept, strict=True) if k)
 
 
 def extract_text(pages: DataFrame, sigma: float = 1.0, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

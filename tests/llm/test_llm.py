@@ -605,3 +605,68 @@ def test_article_of_pages_of_other_shapes(page, text):
 )
 def test_sibling_sections_of_an_article_stay(around, parts, text):
     assert html_text.main_text(around.format(parts)) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # what names say of an article, a heading or nearly all of the text isn't about it
+        (f"<body><article class='post comments-open'><h1>T</h1><p>{PROSE}</p></article></body>", f"T\n{PROSE}"),
+        (f"<body><nav><a>Home</a></nav><div id=social-history class=notice><p>{PROSE} {PROSE}</p></div><p>tiny</p></body>", f"{PROSE} {PROSE}\ntiny"),
+        (f"<body><article><h1>T</h1><p>{PROSE}</p><section id=discussion><h2 class=search>D</h2><p>{PROSE}</p></section></article></body>", f"T\n{PROSE}\nD\n{PROSE}"),
+        (f"<body><form id=all><div><h1>T</h1><p>{PROSE}</p></div></form></body>", f"T\n{PROSE}"),
+        # boilerplate inside a line, with and without an article around it
+        (f"<body><article><p>{PROSE} <span class=ad>Buy now</span> So <label>Name</label><button>Go</button>it is.</p></article></body>", f"{PROSE} So it is."),
+        (f"<body><p>{PROSE} <span class=ad>Buy now</span></p></body>", PROSE),
+        # long boilerplate in and beside an article, and an article without text
+        (f"<body><article><p>{PROSE}</p><div class=comments><p>{PROSE}</p></div></article><section class=comments><article><p>{PROSE * 3}</p></article></section></body>", PROSE),
+        ("<body><article><h1></h1></article><div class=ad>Buy this now</div><footer>Mill 2020</footer></body>", ""),
+        # without any name or telling element, ratios alone tell
+        (f"<body><div>Mill 2020</div><div><a>Home</a> <a>News</a> <a>Old</a></div><div><p>{PROSE} {PROSE}</p><p>{PROSE}</p><p>So.</p></div><div>All rights reserved</div></body>", f"{PROSE} {PROSE}\n{PROSE}\nSo."),
+    ],
+)
+def test_names_weigh_and_ratios_choose(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_levels_and_threshold_decide(monkeypatch):
+    """With equal levels, or without a threshold, other regions come in."""
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    texts = [html_text.main_text(p) for p in pages]
+    for name, instead in (("smooth", lambda r, sigma, runs: np.full(len(r), r.mean())), ("threshold", lambda v: 0.0)):
+        with monkeypatch.context() as m:
+            m.setattr(html_text, name, instead)
+            assert sum(html_text.main_text(p) != t for p, t in zip(pages, texts)) > 0.3 * len(pages)
+
+
+def test_levels_against_brute_force():
+    """Ratios, smoothing and the threshold of real pages, computed one by one."""
+    import math
+
+    for page in pd.read_parquet("/root/testdata/sf0.001/pages.parquet").html[:25]:
+        p = html_text.Page()
+        p.feed(page)
+        p.finish()
+        _, _, weights, boxes, ratios, _ = html_text.measured(p)
+        runs = [[i] for i in range(len(ratios))][:1]
+        for i in range(1, len(ratios)):
+            if (weights[i], boxes[i]) == (weights[i - 1], boxes[i - 1]):
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        want = []
+        for run in runs:
+            for i in run:
+                near = [(math.exp(-(k * k) / 2), ratios[min(max(i + k, run[0]), run[-1])]) for k in range(-3, 4)]
+                want.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        level = html_text.smooth(np.array(ratios), 1.0, list(map(len, runs)))
+        assert level == pytest.approx(np.array(want))
+        # the cut lies in the middle between the means of the two sides it makes
+        cut = html_text.threshold(level)
+        low, high = [v for v in want if v < cut], [v for v in want if v >= cut]
+        assert cut == pytest.approx((sum(low) / len(low) + sum(high) / len(high)) / 2)
+    p = html_text.Page()
+    p.feed("<body><article><p>abcdefghij <a>cde</a> f</p><p class=ad><b>0123456789</b></p></article><nav>menu</nav></body>")
+    p.finish()
+    # tags: body, article, p, a and both ends; then p, b and both ends
+    assert html_text.measured(p)[4] == [pytest.approx(13 / 6), pytest.approx(html_text.NAMED * 10 / 4), 0.0]
