@@ -133,7 +133,7 @@ def test_splitting_tree_is_exact_and_fair(spark):
     quotas = {0: 1000, 1: 10, 2: 0, 3: 333}
     df = spark.createDataFrame(list(quotas.items()), "sid int, quota long")
     for n in (1, 2, 7, 8):
-        got = mixing.split_quotas(df, n, seed=3).collect()
+        got = mixing.split_quotas(df, n, 4, seed=3).collect()
         by_source, by_shard = Counter(), Counter()
         for r in got:
             by_source[r.sid] += r.drawn
@@ -147,6 +147,66 @@ def test_splitting_tree_is_exact_and_fair(spark):
     assert abs(mean - 12) < 0.02 and abs(var - 40 * 0.3 * 0.7 * 60 / 99) < 0.05
 
 
+def test_what_is_taken_comes_out_of_the_tree(spark):
+    """The leaves' pools are the blocks taken, but for those that bring the words to the target; another tree takes others."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    taken = {}
+    for n in (1, 8):
+        mix = mixing.Mix(df, 1.5, 2.0, mixing.WEIGHTS, n, 1, 7, "doc_id", "text", "source")
+        sources = {r.sid: r for r in mix.sources.collect()}
+        spans, quotas, leaves = (spark.read.parquet(f"{mix.space.root}/{k}") for k in sorted(__import__("os").listdir(mix.space.root.removeprefix("file://"))) if k.split("-")[1] in ("spans", "quotas", "leaves"))
+        pool = Counter(r.sid for r in spans.collect())
+        quota = {(r.sid, r["pass"]): r.quota for r in quotas.collect()}
+        for (sid, p), q in quota.items():
+            s = sources[sid]
+            assert q == pool[sid] if p < s.passes else abs(q - pool[sid] * s.rest / s.source_size) <= 0.5
+        dealt, by_shard = Counter(), Counter()
+        for r in leaves.collect():
+            dealt[r.sid, r["pass"]] += r.drawn
+            by_shard[r.shard] += r.drawn
+        assert dealt == Counter(quota) and max(by_shard.values()) - min(by_shard.values()) <= n
+        rows = mix.draws(mix.base).collect()
+        got = Counter(s for r in rows for s in r.shards)
+        assert set(got) <= set(range(n))
+        if n > 1:
+            assert max(got.values()) < 2 * min(got.values())
+        taken[n] = {r.id: len(r.shards) for r in rows}
+        want = water({s.source: s.source_size for s in sources.values()})
+        assert all(s.target == pytest.approx(want[s.source]) for s in sources.values())
+    assert sum(taken[1][d] != taken[8][d] for d in taken[1]) > 20
+
+
+def test_mix_of_rows_that_repeat(spark):
+    """Every row is drawn for itself, however many are alike, and the mixed rows are as many as planned."""
+    rows = [(None, "a b c", "s", i) for i in range(4000)] + [(i, f"w{i} " * (1 + i % 7), "t" if i % 2 else None, i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    plan = mixing.mix_plan(df).collect()
+    assert len(plan) == len(rows)
+    taken, target = Counter(), {}
+    for r in plan:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert len(target) == 3 and all(abs(taken[k] - t) < 7 for k, t in target.items())
+    again = mixing.mix_plan(df.repartition(7)).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in plan) == Counter((r.doc_id, r.size, r.taken) for r in again)
+    mixed = Counter(r.extra if r.doc_id is None else None for r in mixing.mix_documents(df).collect())
+    assert sum(n for k, n in mixed.items() if k is not None) * 3 == taken[12000] and max(n for k, n in mixed.items() if k is not None) <= 2
+
+
+def test_a_tree_of_many_quotas(spark):
+    """More quotas than one run draws: sums stay exact, shards even, and shares as expected."""
+    quotas = {i: 5 + i % 50 for i in range(3000)}
+    got = mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "sid int, quota long"), 4, 3000).collect()
+    by_source, by_shard = Counter(), Counter()
+    for r in got:
+        by_source[r.sid] += r.drawn
+        by_shard[r.shard] += r.drawn
+    assert by_source == Counter(quotas) and max(by_shard.values()) - min(by_shard.values()) <= 4
+    large = [r.drawn for r in got if quotas[r.sid] == 54]
+    assert sum(large) / len(large) == pytest.approx(13.5) and 5 < np.var(large) < 16
+
+
 # --- 3
 
 
