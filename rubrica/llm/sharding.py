@@ -1,16 +1,19 @@
 """Contiguous shards of near equal bytes, by global prefix sums.
 
 Rows lie on a line in the order of their text's hash, so equal texts are
-neighbours. The line is cut into buckets; each bucket's total bytes give its
-start by a prefix sum over the buckets, and a window inside the bucket gives
-each row's. Shards are the stretches between equal targets, cut between groups
-of equal texts.
-
-Groups that are large against a shard are no good at a cut, or in one task.
-There are few of them (their number is bounded by the thresholds), and they
-are laid first on the line of each shard, largest to the emptiest shard; the
-small ones fill each shard up to the equal target. A group larger than a shard
-cannot stay whole: its rows lie on the line one by one, by their own hash.
+neighbours. The line consists of pieces of at most about PIECE_ROWS rows of one
+text, cut into buckets of neighbouring hashes. Each bucket's total bytes and
+rows give its start by a prefix sum over the buckets, a window inside the
+bucket gives each piece's, and one inside the piece each row's. Shards are the
+stretches between equal targets.
+
+A group of equal texts, or a single long one, is no good at a cut if it is
+larger than ``slack`` of a shard. There are at most n_shards / slack of these;
+the line begins each shard with the ones that it can hold, largest first and
+each in the emptiest shard, so that cuts fall among small groups. A small group
+across a cut goes to the side that has the greater part of it. A large group
+that no shard can hold stays among the others and is cut between two rows. No
+group of any size meets in one task.
 """
 
 from __future__ import annotations
@@ -22,95 +25,110 @@ from pyspark.sql import functions as F
 
 from rubrica.llm.common import Workspace
 
-#: A group is large from this share of a shard's bytes or rows on.
-LARGE = 1 / 64
-#: Rows that a bucket is meant to hold; buckets are at most MOST_BUCKETS.
-BUCKET_ROWS, MOST_BUCKETS = 20_000, 1 << 16
+#: Rows that a piece, and that a bucket's groups, are meant to have.
+PIECE_ROWS, BUCKET_ROWS = 256, 20_000
 
 
-def _bucket(key: Column, bits: int) -> Column:
-    """The key's top bits, in the order of its bits as an unsigned number."""
-    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
-
-
-def lay_large(groups: list[tuple[int, int]], target: float, n_shards: int) -> tuple[dict[int, int], list[int]]:
-    """({group: shard}, bytes laid in each shard): largest first, each to the emptiest shard.
+def lay_large(groups: list[tuple[int, int, int]], target: float, n_shards: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """([(group, shard, rows before it)], [(bytes, rows) laid in each shard]) of (group, bytes, rows): largest first, each to the emptiest shard.
 
     Groups that fit no shard are left out.
     """
     emptiest = [(0, s) for s in range(n_shards)]
-    placed, laid = {}, [0] * n_shards
-    for size, g in sorted(((b, g) for g, b in groups), reverse=True):
+    placed, laid = [], [(0, 0)] * n_shards
+    for g, size, rows in sorted(groups, key=lambda x: (-x[1], x[0])):
         used, s = emptiest[0]
         if used + size > target:
             continue
         heapq.heapreplace(emptiest, (used + size, s))
-        placed[g] = s
-        laid[s] += size
+        placed.append((g, s, laid[s][1]))
+        laid[s] = used + size, laid[s][1] + rows
     return placed, laid
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _before(c: str, order: Window) -> Column:
+    return F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(c)
+
+
+def _placed(space: Workspace, base: DataFrame, n_shards: int, slack: float) -> DataFrame:
+    """``base`` (row, id, size, g, ...), a kept table, with shard and slot."""
+    spark = space.spark
+    total, n = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    bits, share = max(4, (n // BUCKET_ROWS).bit_length()), total / n_shards
+    groups = space.keep(base.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "groups")
+    # at most n_shards / slack rows come to the driver
+    placed, laid = lay_large([tuple(r) for r in groups.where(F.col("bytes") > slack * share).collect()], share, n_shards)
+    of_large = spark.createDataFrame(placed, "g long, whole int, rows_before long")
+    crowded = groups.where(F.col("rows") > PIECE_ROWS).select("g", F.ceil(F.col("rows") / PIECE_ROWS).alias("pieces"))
+    rows = base.join(crowded, "g", "left").withColumn("own", F.xxhash64("g", "id"))
+    # rows that repeat have one id, so their own number tells them apart
+    rows = space.keep(rows.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("own", "row"), F.col("pieces")), F.lit(0))).drop("pieces"), "rows")
+    pieces = space.keep(rows.groupBy("g", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "pieces")
+    large = pieces.join(of_large, "g").select("g", "piece", F.lit(0).cast("long").alias("start"), (F.col("rows_before") + _before("rows", Window.partitionBy("g").orderBy("piece"))).alias("first"), "whole", F.lit(True).alias("large"))
+    small = pieces.join(of_large, "g", "left_anti").withColumn("bucket", F.shiftright("g", 64 - bits))
+    buckets = small.groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    every = Window.orderBy("bucket")
+    buckets = buckets.select("bucket", _before("bytes", every).alias("bytes_before"), _before("rows", every).alias("rows_before"))
+    inside = Window.partitionBy("bucket").orderBy("g", "piece")
+    line = small.select("*", _before("bytes", inside).alias("b"), _before("rows", inside).alias("r")).join(buckets, "bucket")
+    line = line.select("g", "piece", (F.col("bytes_before") + F.col("b")).alias("start"), (F.col("rows_before") + F.col("r")).alias("first"), "bytes")
+    cuts, upto = [], 0.0
+    for size, _ in laid[:-1]:
+        upto += max(0.0, share - size)
+        cuts.append(upto)
+    cut_at = F.array(*map(F.lit, cuts)).cast("array<double>")
+    at = lambda c: F.size(F.filter(cut_at, lambda x: x <= c))
+    # a group's place; a group has many pieces only if it has many rows
+    group = Window.partitionBy("g")
+    line = line.withColumn("low", F.min("start").over(group)).withColumn("high", F.max(F.col("start") + F.col("bytes")).over(group))
+    line = line.withColumn("a", at(F.col("low"))).withColumn("b", at(F.col("high") - 1))
+    side = F.when(2 * F.get(cut_at, F.col("b") - 1) > F.col("low") + F.col("high"), F.col("a")).otherwise(F.col("b"))
+    whole = F.when(F.col("a") == F.col("b"), F.col("a")).when(F.col("high") - F.col("low") <= slack * share, side)
+    line = space.keep(line.select("g", "piece", "start", "first", whole.alias("whole"), F.lit(False).alias("large")).unionByName(large), "line")
+    order = Window.partitionBy("g", "piece").orderBy("own", "row")
+    out = rows.withColumn("start_in", _before("size", order)).withColumn("number", F.row_number().over(order)).join(line, ["g", "piece"])
+    shard = F.coalesce("whole", at(F.col("start") + F.col("start_in") + F.col("size") / 2))
+    out = space.keep(out.select(*base.columns, shard.cast("int").alias("shard"), "large", (F.col("first") + F.col("number") - 1).alias("index")), "placed")
+    begins = out.where("not large").groupBy("shard").agg(F.min("index").alias("least"))
+    begins = begins.join(spark.createDataFrame([(s, r) for s, (_, r) in enumerate(laid)], "shard int, laid long"), "shard").select("shard", (F.col("laid") - F.col("least")).alias("shift"))
+    slot = F.when(F.col("large"), F.col("index")).otherwise(F.col("index") + F.col("shift"))
+    return out.join(begins, "shard", "left").withColumn("slot", slot).drop("large", "index", "shift")
+
+
+def _raw(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+
+
+def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", slack: float = 1 / 64) -> DataFrame:
     """(id, size, text_crc32, shard, slot) of each row.
 
     size is the text's UTF-8 bytes plus 1 (null text: 1, its checksum that of
-    no bytes). Shards differ in bytes by at most about 2 * LARGE of a shard,
-    or one document; equal texts share a shard unless their group does not fit
-    one. Slots number a shard's rows from 0 without gaps, in the line's order.
-    Ids may be null or repeat: rows are placed by hash and row. Other columns
-    are ignored; an empty table gives an empty one.
+    no bytes). Shards differ from equal bytes by at most ``slack`` of a shard,
+    or one row. Equal texts (null is empty) share a shard, but for groups
+    larger than ``slack`` of one that fit none; these are cut where the line
+    is. Slots number a shard's rows from 0 without gaps, in the line's order.
+    Ids may be null or repeat: rows are placed one by one. Other columns are
+    ignored; an empty table gives an empty one.
     """
     space = Workspace(docs.sparkSession, "sharding")
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    slim = docs.select(F.col(id_col).alias("id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("g"), F.xxhash64(raw, F.col(id_col), F.lit(1)).alias("own"), F.monotonically_increasing_id().alias("row"))
-    base = space.keep(slim, "rows")
-    groups = base.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    all_bytes, all_rows = base.agg(F.sum("size"), F.count("*")).first()
-    all_bytes, target = all_bytes or 0, (all_bytes or 0) / n_shards
-    # at most 2 * n_shards / LARGE groups can be this large
-    large = groups.where((F.col("bytes") > LARGE * target) | (F.col("rows") > LARGE * all_rows / n_shards)).where("rows > 1").collect()
-    placed, laid = lay_large([(r["g"], r["bytes"]) for r in large], target, n_shards)
-    loose = [r["g"] for r in large if r["g"] not in placed]
-    bits = min(MOST_BUCKETS, max(16, all_rows // BUCKET_ROWS)).bit_length()
-    shard_of = F.create_map(*(F.lit(x) for gs in placed.items() for x in gs)) if placed else None
-    of_large = (shard_of[F.col("g")] if placed else F.lit(None)).cast("int")
-    key = F.when(F.col("g").isin(loose), F.col("own")).otherwise(F.col("g")) if loose else F.col("g")
-    rows = base.select("id", "size", "text_crc32", "g", "own", "row", key.alias("key"), of_large.alias("fixed"))
-    # the rest of the line: a start for each bucket, then for each group in it
-    small = rows.where(F.col("fixed").isNull()).withColumn("bucket", _bucket(F.col("key"), bits))
-    totals = small.groupBy("bucket").agg(F.sum("size").alias("bytes"))
-    start = F.coalesce(F.sum("bytes").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("bucket", start.alias("start"))
-    order = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))  # signed order of unsigned keys
-    inside = F.sum("size").over(Window.partitionBy("bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
-    cuts, at = [], 0
-    for s in range(n_shards - 1):
-        at += max(0, round(target - laid[s]))
-        cuts.append(at)
-    end = F.col("start") + F.col("inside")
-    shard = sum((F.when(end > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    small = small.withColumn("inside", inside).join(starts, "bucket").withColumn("shard", shard.cast("int"))
-    # large groups come first in their shard, in buckets by their rows' own hash
-    small = small.select("id", "size", "text_crc32", "shard", (F.col("bucket") + F.lit(1 << 40)).alias("part"), order.alias("key"), "own", "row")
-    first = rows.where(F.col("fixed").isNotNull())
-    first = first.select("id", "size", "text_crc32", F.col("fixed").alias("shard"), _bucket(F.col("own"), bits).alias("part"), F.col("own").bitwiseXOR(F.lit(-(1 << 63))).alias("key"), "own", "row")
-    line = space.keep(small.unionByName(first), "line")
-    parts = line.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("shard", "part", before.alias("before"))
-    number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("key", "own", "row"))
-    out = line.withColumn("number", number).join(parts, ["shard", "part"])
-    return out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("before") + F.col("number") - 1).alias("slot"))
-
-
-def write_shards(docs: DataFrame, path: str, n_shards: int = 8, rows_a_file: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+    raw = _raw(text_col)
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.xxhash64(raw).alias("g"), F.crc32(raw).alias("text_crc32"))
+    out = _placed(space, space.keep(slim, "base"), n_shards, slack)
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 8, rows_a_file: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", slack: float = 1 / 64) -> None:
     """Writes ``docs`` as Parquet, one folder for each shard, files and rows in slot order.
 
-    Rows find their shard by id, so ids must be unique and not null. Columns
-    of docs named shard or slot give way to the placement's.
+    Every row is written once, null and repeated ids included. Columns of docs
+    named shard or slot give way to the placement's; others keep their names,
+    whatever they are. An empty table writes no folder.
     """
-    placed = shard_by_bytes(docs, n_shards, id_col, text_col).select(F.col(id_col).alias("_id"), "shard", "slot")
-    docs = docs.drop("shard", "slot")
-    rows = docs.join(placed, docs[id_col] == placed["_id"]).drop("_id")
-    rows = rows.withColumn("_file", F.floor(F.col("slot") / rows_a_file)).repartition("shard", "_file").sortWithinPartitions("shard", "_file", "slot")
-    rows.drop("_file").write.partitionBy("shard").parquet(path)
+    space = Workspace(docs.sparkSession, "sharding")
+    raw = _raw(text_col)
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.xxhash64(raw).alias("g"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot"))).alias("whole"))
+    base = space.keep(slim, "base")
+    placed = _placed(space, base.drop("whole"), n_shards, slack).select("row", "shard", "slot")
+    rows = base.select("row", "whole").join(placed, "row").withColumn("file", F.floor(F.col("slot") / rows_a_file))
+    rows = rows.repartition("shard", "file").sortWithinPartitions("shard", "file", "slot")
+    rows.select("whole.*", "shard", "slot").write.partitionBy("shard").parquet(path)

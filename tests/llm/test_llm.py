@@ -476,6 +476,56 @@ def test_shards_split_a_group_larger_than_a_shard(spark):
     assert len(size) == 8 and all(abs(s - mean) < 0.04 * mean for s in size.values()), size
 
 
+def lined(rows, n_shards=8):
+    """{shard: bytes} of a placement, after checking its slots."""
+    slots, size = defaultdict(list), Counter()
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        size[r.shard] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(size) <= set(range(n_shards))
+    return size
+
+
+def test_shards_of_rows_that_repeat(spark):
+    """Equal (null id, text) rows, equal ids, and one text larger than several shards."""
+    rows = [(None, "same text here")] * 4000 + [(i, f"text {i} of its own") for i in range(6000)]
+    size = lined(sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    mean = sum(size.values()) / 8
+    assert len(size) == 8 and all(abs(s - mean) <= 0.02 * mean for s in size.values()), size
+    rows = [(1, "x" * 50_000)] + [(2, None)] * 300 + [(3, "short")] * 300
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lined(got)
+    assert Counter((r.doc_id, r.size) for r in got) == {(1, 50_001): 1, (2, 1): 300, (3, 6): 300}
+    # one row larger than a shard lies alone but for what shares its start or fills the rest
+    assert len({r.shard for r in got if r.doc_id == 3}) <= 2
+
+
+def test_shards_against_a_plain_line(spark):
+    """The line, computed row by row: contiguous stretches, few groups cut, and those at the targets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for n in (3, 8):
+        got = sharding.shard_by_bytes(docs, n).collect()
+        total, groups = sum(r.size for r in got), defaultdict(list)
+        size = lined(got, n)
+        for r in got:
+            groups[r.size, r.text_crc32].append(r)
+        assert all(abs(s - total / n) <= total / n / 64 + max(r.size for r in got) for s in size.values())
+        assert all(len({r.shard for r in g}) == 1 for g in groups.values())
+        # in line order each group's rows are neighbours
+        order = sorted(got, key=lambda r: (r.shard, r.slot))
+        runs = [k for i, k in enumerate((r.size, r.text_crc32) for r in order) if i == 0 or k != (order[i - 1].size, order[i - 1].text_crc32)]
+        assert len(runs) == len(groups)
+
+
+def test_written_shards_keep_every_row_and_column(spark, tmp_path):
+    rows = [(None, "a", 1, 5, 6), (None, "a", 2, 5, 6), (7, None, 3, 5, 6), (7, "b" * 40, 4, 5, 6), (8, "", 5, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, shard int, row int")
+    sharding.write_shards(docs, str(tmp_path / "s"), 2)
+    back = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted((r._id, r.row, r.text) for r in back) == [(1, 6, "a"), (2, 6, "a"), (3, 6, None), (4, 6, "b" * 40), (5, 6, "")]
+    assert sorted(r.slot for r in back if r.shard == 0) == list(range(sum(r.shard == 0 for r in back)))
+
+
 # --- 8
 
 
