@@ -18,10 +18,14 @@ BATCH_BYTES = 8 << 20
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """Lowers the session's bound on the bytes of an Arrow batch, if it is higher; texts may be very long."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(df.sparkSession.conf.get(key).rstrip("b")) > BATCH_BYTES:
-        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    """Lowers the session's bound on the bytes of an Arrow batch, if it is higher; texts may be very long.
+
+    Plans are made when they run, so the lower bound stays in the session.
+    """
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if as_bytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     return df
 
 
@@ -56,9 +60,10 @@ class Workspace:
         self.made += 1
         return f"{self.root}/{self.made:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` written and read again; ``by`` names a column whose values get folders of their own."""
         path = self.path(name)
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._rubrica_path = path
         return out

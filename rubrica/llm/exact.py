@@ -1,25 +1,33 @@
 """Exact dedup by a log-structured merge index of digests.
 
-DataFrame and SQL functions only. A batch of rows is a memtable that each
-task flushes as a run: its digests, sorted, in one Parquet file with Bloom
-filters. Compaction merges all runs into one level that has, for each digest,
-its number of rows and the row that stays. Digests of two or more rows are
-hits; a bitmap filter of bounded size, built from them and broadcast, finds
-nearly all rows without a hit at once, and the rows with one are compared byte
-for byte by grouping on the text itself. Only texts of hits are shuffled, and
-copies of a text are combined before that, so that a group of any size
-arrives as a few rows.
+DataFrame and SQL functions only. A batch of rows fills several memtables, one
+for the scan partitions of equal remainder. A memtable combines its rows by
+digest (their number, and the row that stays) and is flushed as a run, sorted
+by digest in each file. Every run has a bitmap filter. Compaction merges all
+runs into one level: an entry that no other run's filter knows passes those
+runs by and is copied as it is; the others are merged by digest. Entries are
+unique in a run, so a group of any size meets as one entry of each run.
+
+Digests of two or more rows are hits, and their rows' texts are compared byte
+for byte by grouping on the text itself. A filter of the hits finds nearly all
+rows without one at once, so that only texts of hits are shuffled, and copies
+of a text are combined before that. Filters are broadcast and so have a bound;
+where the hits are too many for one, rows are joined with the hits themselves.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubrica.llm.common import Workspace
 
-#: Bits of the hit filter: 16 for each hit, within these bounds (at most 32 MB are broadcast).
-FILTER_BITS = (1 << 20, 1 << 28)
+#: Memtables that a batch fills.
+MEMTABLES = 4
+#: Bits of a filter: 16 for each entry, within these bounds; with more entries than an eighth of the most bits, there is none. At most 32 MB are broadcast.
+RUN_BITS, HIT_BITS = (1 << 16, 1 << 26), (1 << 20, 1 << 28)
 _MIX = 0x2545F4914F6CDD1D
 
 
@@ -28,61 +36,88 @@ def digest(text: Column, bits: int = 256) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, bits // 8)
 
 
+def _bits(n: int, bounds: tuple[int, int]) -> int:
+    """Bits of a filter of n entries; 0 where it would be too full."""
+    return 0 if 8 * n > bounds[1] else min(bounds[1], max(bounds[0], 1 << (16 * n).bit_length()))
+
+
+def _position(bits: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+
+
+def _bitmaps(entries: DataFrame, bits: int, by: list[str]) -> DataFrame:
+    at = entries.select(*by, _position(bits).alias("at"))
+    return at.groupBy(*by, F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+
+
+def _holds(bitmap: Column, bits: int) -> Column:
+    """Whether a bitmap, or null for an empty one, has a row's digest."""
+    bit = F.bitmap_bit_position(_position(bits))
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+
 class DigestIndex:
-    """Runs of (digest, id, row) in a folder, and the level they are compacted to."""
+    """A log of (digest, id, row), the runs flushed from it, and the level they are compacted to."""
 
     def __init__(self, space: Workspace, keep: str = "smallest", bits: int = 256):
         if keep not in ("smallest", "largest"):
             raise ValueError(f"keep must be smallest or largest, not {keep!r}")
-        self.space, self.keep, self.bits, self.runs, self.level, self._filter = space, keep, bits, [], None, None
-
-    def best(self) -> Column:
-        """The row that stays; null ids last, rows of one id by their number."""
-        if self.keep == "largest":
-            return F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "row"))
-        return F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row"))
-
-    def flush(self, batch: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """Adds a batch: one sorted run for each of its partitions."""
-        number = len(self.runs)
-        rows = batch.select(digest(F.col(text_col), self.bits).alias("digest"), F.col(id_col).alias("id"), F.lit(number).alias("run"), F.monotonically_increasing_id().alias("row"))
-        path = self.space.path(f"run{number}")
-        rows.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-        self.runs.append(self.space.spark.read.schema(rows.schema).parquet(path))
-        self.level = None
-        return self.runs[-1]
+        self.space, self.keep, self.bits, self.logs, self.runs = space, keep, bits, [], []
+
+    def best(self, x: str | None = None) -> Column:
+        """The row that stays, of rows or of those that stay in runs; null ids last, rows of one id by their number."""
+        largest = self.keep == "largest"
+        known = F.col("id").isNotNull() if largest else F.col("id").isNull()
+        return (F.max if largest else F.min)(F.col(x) if x else F.struct(known.alias("k"), "id", "row"))
+
+    def flush(self, batch: DataFrame, id_col: str, text_col: str) -> None:
+        """Adds a batch: its rows to the log, and a run of each of its memtables."""
+        number = len(self.logs)
+        row = F.monotonically_increasing_id()
+        rows = batch.select(digest(F.col(text_col), self.bits).alias("digest"), F.col(id_col).alias("id"), F.struct(F.lit(number).alias("batch"), row.alias("row")).alias("row"))
+        self.logs.append(self.space.keep(rows, f"log{number}"))
+        table = F.pmod(F.shiftright("row.row", 33), F.lit(MEMTABLES)).cast("int") + F.lit(number * MEMTABLES)
+        entries = self.logs[-1].withColumn("run", table).groupBy("run", "digest").agg(F.count("*").alias("n"), self.best().alias("best"))
+        self.runs.append(self.space.keep(entries.sortWithinPartitions("run", "digest"), f"runs{number}", by="run"))
 
     def rows(self) -> DataFrame:
-        out = self.runs[0]
-        for r in self.runs[1:]:
-            out = out.unionByName(r)
-        return out.select("digest", "id", F.struct("run", "row").alias("row"))
+        return reduce(DataFrame.unionByName, self.logs)
 
     def compact(self) -> DataFrame:
-        """The level: (digest, n, best) of all runs. Counts and minima are combined before the shuffle."""
-        merged = self.rows().groupBy("digest").agg(F.count("*").alias("n"), self.best().alias("best"))
-        self.level = self.space.keep(merged.sortWithinPartitions("digest"), "level")
-        self.hits = self.level.where("n > 1").select("digest")
-        n = self.hits.count()
-        low, high = FILTER_BITS
-        self.n_hits, self.n_bits = n, min(high, max(low, 1 << (16 * n).bit_length()))
-        at = self.hits.select(self.position().alias("at"))
-        self.filter = at.select(F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+        """The level: (digest, n, best) of all runs."""
+        runs, n_runs = reduce(DataFrame.unionByName, self.runs), MEMTABLES * len(self.runs)
+        largest = runs.groupBy("run").count().agg(F.max("count")).first()[0] or 0
+        bits = _bits(largest, RUN_BITS)
+        alone = None
+        if bits and n_runs * bits <= HIT_BITS[1]:
+            filters = _bitmaps(runs, bits, ["run"]).groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("run", "bitmap"))).alias("of"))
+            # the filters' size is bounded by HIT_BITS, whatever the input
+            probed = runs.withColumn("bucket", F.bitmap_bucket_number(_position(bits))).join(F.broadcast(self.space.keep(filters, "filters")), "bucket")
+            elsewhere = [(F.col("run") != r) & _holds(F.element_at("of", F.lit(r)), bits) for r in range(n_runs)]
+            probed = probed.withColumn("met", reduce(Column.__or__, elsewhere)).select("digest", "n", "best", "met")
+            alone, runs = probed.where("not met").drop("met"), probed.where("met").drop("met")
+        merged = runs.groupBy("digest").agg(F.sum("n").alias("n"), self.best("best").alias("best"))
+        level = merged if alone is None else alone.unionByName(merged)
+        self.level = self.space.keep(level.sortWithinPartitions("digest"), "level")
+        self.hits = self.space.keep(self.level.where("n > 1").select("digest"), "hits")
+        self.n_hits = self.hits.count()
+        self.hit_bits = _bits(self.n_hits, HIT_BITS)
+        if self.n_hits and self.hit_bits:
+            self.filter = self.space.keep(_bitmaps(self.hits, self.hit_bits, []), "filter")
         return self.level
 
-    def position(self) -> Column:
-        return F.pmod(F.xxhash64("digest"), F.lit(self.n_bits)) + 1
-
     def may_hit(self, rows: DataFrame) -> DataFrame:
-        """Adds ``maybe`` to rows with a digest: false only for digests of one row. No shuffle."""
+        """Adds ``maybe`` to rows with a digest: false only for digests of one row. No shuffle, unless the hits are too many for a filter."""
         if self.n_hits == 0:
             return rows.withColumn("maybe", F.lit(False))
-        at = self.position()
-        bit = F.bitmap_bit_position(at)
-        # the filter's size is bounded by FILTER_BITS, whatever the input
-        found = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(self.filter), "bucket", "left")
-        byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-        return found.withColumn("maybe", F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))).drop("bucket", "bitmap")
+        if not self.hit_bits:
+            hits = self.hits.select(_dealt_anew(F.col("digest")).alias("_k"), F.col("digest").alias("_hit"))
+            met = rows.withColumn("_of", _dealt_anew(F.col("digest"))).join(hits, (F.col("_of") == F.col("_k")) & (F.col("digest") == F.col("_hit")), "left")
+            return met.withColumn("maybe", F.col("_hit").isNotNull()).drop("_of", "_k", "_hit")
+        # the filter's size is bounded by HIT_BITS, whatever the input
+        found = rows.withColumn("bucket", F.bitmap_bucket_number(_position(self.hit_bits))).join(F.broadcast(self.filter), "bucket", "left")
+        return found.withColumn("maybe", _holds(F.col("bitmap"), self.hit_bits)).drop("bucket", "bitmap")
 
     def collisions(self, batch: DataFrame, text_col: str) -> DataFrame:
         """Digests under which different texts lie, by comparing the texts of all hits byte for byte."""
@@ -124,7 +159,7 @@ def find_copies(docs: DataFrame, keep: str = "smallest", bits: int = 256, id_col
     if clashes is None:
         return out.select(*shape)
     # a digest of several texts: those rows are grouped by the text itself
-    texts = docs.select(digest(F.col(text_col), bits).alias("digest"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("run"), F.monotonically_increasing_id().alias("row")).alias("row"))
+    texts = docs.select(digest(F.col(text_col), bits).alias("digest"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("batch"), F.monotonically_increasing_id().alias("row")).alias("row"))
     texts = space.keep(texts.join(clashes, "digest", "left_semi"), "clashing")
     exact = texts.groupBy("digest", "text").agg(F.count("*").alias("n"), index.best().alias("best"))
     split = texts.join(exact, ["digest", "text"]).select(*shape)
@@ -132,10 +167,13 @@ def find_copies(docs: DataFrame, keep: str = "smallest", bits: int = 256, id_col
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each text, all columns kept.
+    """``docs`` with one row of each text, all columns kept, whatever their names.
 
-    Rows that the filter clears pass without a shuffle. Hits are grouped by
-    digest and text, so texts are compared byte for byte.
+    Null counts as empty. The row that stays is that of the smallest or largest
+    id; null ids lose to others, and of rows that repeat the id one stays, by
+    its other columns. Rows that the filter clears pass without a shuffle. Hits
+    are grouped by digest and text, so texts are compared byte for byte. An
+    empty table gives an empty one.
     """
     space = Workspace(docs.sparkSession, "exact-drop")
     index = DigestIndex(space, keep)

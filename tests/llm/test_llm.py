@@ -588,12 +588,33 @@ def test_index_takes_several_batches(spark, docs):
     index = exact.DigestIndex(space)
     index.flush(docs.where("doc_id < 10"), "doc_id", "text")
     index.flush(docs.where("doc_id >= 10 or doc_id is null"), "doc_id", "text")
-    level = index.compact()
-    assert level.count() == len({r[1] or "" for r in ROWS})
-    maybe = index.may_hit(level).where("n > 1").select("maybe").distinct().collect()
+    # entries are unique in each run, and runs hold what was logged
+    runs = index.runs[0].unionByName(index.runs[1])
+    assert runs.groupBy("run", "digest").count().where("count > 1").isEmpty()
+    assert runs.agg({"n": "sum"}).first()[0] == len(ROWS) == index.rows().count()
+    assert runs.select("run").distinct().count() > 2
+    level = {bytes(r.digest): (r.n, r.best.id) for r in index.compact().collect()}
+    want = defaultdict(list)
+    for r in ROWS:
+        want[hashlib.sha256((r[1] or "").encode()).digest()].append(r[0])
+    assert level == {d: (len(ids), min((i for i in ids if i is not None), default=None)) for d, ids in want.items()}
+    maybe = index.may_hit(index.level).where("n > 1").select("maybe").distinct().collect()
     assert [r.maybe for r in maybe] == [True]
 
 
+def test_filters_spare_merges_and_their_lack_changes_nothing(spark, docs, monkeypatch):
+    """Entries of one run alone are copied, others merged; without filters all are, with the same result."""
+    numbered = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2900 as string) as text").repartition(8)
+    want = None
+    for run_bits, hit_bits in ((exact.RUN_BITS, exact.HIT_BITS), ((0, 0), exact.HIT_BITS), ((0, 0), (0, 0))):
+        monkeypatch.setattr(exact, "RUN_BITS", run_bits)
+        monkeypatch.setattr(exact, "HIT_BITS", hit_bits)
+        got = [Counter(tuple(r) for r in exact.find_copies(d).collect()) for d in (docs, numbered)] + [Counter(exact.drop_copies(numbered).collect())]
+        want = want or got
+        assert got == want
+    assert sum(n for r, n in want[1].items() if r[2] == 2) == 200
+
+
 # --- 10
 
 
