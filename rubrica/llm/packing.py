@@ -211,8 +211,12 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = slots(pack_lengths(histogram, capacity))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = table.join(base, ["part", "length"]).select(id_col, "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"), *["ids"] * with_ids)
+    bases = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
+    # one row a task, with a number for each length up to the capacity
+    of = F.map_from_entries(F.collect_list(F.struct("length", "base")))
+    bases = bases.groupBy("part").agg(of.alias("of")).select("part", F.transform(F.sequence(F.lit(1).cast("long"), F.lit(capacity).cast("long")), lambda n: F.coalesce(F.element_at("of", n), F.lit(0))).alias("bases"))
+    bases = space.keep(bases, "bases")
+    ranked = table.join(bases, "part").select(id_col, "piece", "start", "length", "ids_crc32", (F.get("bases", (F.col("length") - 1).cast("int")) + F.col("nth")).alias("rank"), *["ids"] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
