@@ -4,16 +4,15 @@ Fingerprints are cut into ``max_distance + 2`` blocks: two fingerprints that
 differ in at most ``max_distance`` bits agree in at least two whole blocks, so
 a join on every pair of blocks finds them; the Hamming distance is then
 verified. Copies share one fingerprint and are joined once. Buckets of more
-than ``bucket`` different fingerprints are not paired: their members meet at
-midpoints instead. Two fingerprints are within 2 bits exactly if some value is
-within one bit of both, so each emits the 65 values around it, at most 65
-fingerprints share such a value, and all of them are linked to its smallest.
-That is exact and linear in the bucket, whatever its size.
+than ``bucket`` different fingerprints are cut into blocks again, of the bits
+in which their members may still differ; after three such cuts a bucket has at
+most 256 fingerprints, so nothing is quadratic in a hot one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -47,7 +46,7 @@ def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long): fp holds the 64 bits as a signed long. One narrow stage."""
+    """(id, fp long): fp holds the 64 bits as a signed long; null and wordless texts have 0. One narrow stage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -58,35 +57,46 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, fp long")
 
 
-def _keys(fp: Column, max_distance: int) -> Column:
-    """One long for each pair of blocks: the pair's number and a mix of both blocks' bits."""
-    n = max_distance + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    blocks = [F.shiftrightunsigned(fp, 64 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    wide = max(hi - lo for lo, hi in zip(cuts, cuts[1:], strict=False))
-    return F.array(*(F.shiftleft(F.shiftleft(F.lit(c).cast("long"), wide).bitwiseOR(blocks[i]), wide).bitwiseOR(blocks[j]) for c, (i, j) in enumerate(combinations(range(n), 2))))
-
-
 def _fresh(key: Column) -> Column:
     """The same key as another value, so that an aggregate's output is dealt anew before a join and a skewed side can be split."""
     return key.bitwiseXOR(F.lit(_ODD))
 
 
+#: Bits of which all values may meet in one bucket.
+LAST = 8
+
+
 def links(space: Workspace, nodes: DataFrame, max_distance: int = 2, bucket: int = 64) -> DataFrame:
-    """(a, b), a < b: links among different fingerprints that connect the same sets as all links within max_distance do."""
-    if max_distance > 2:
-        bucket = 1 << 62  # midpoints are built for 2 bits; farther apart, all buckets are paired
-    rows = nodes.select(F.explode(_keys(F.col("fp"), max_distance)).alias("key"), "fp")
-    often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(_fresh(F.col("key")).alias("k"), "n")
-    met = space.keep(rows.select(_fresh(F.col("key")).alias("k"), "fp").join(often, "k").select("k", "fp", "n"), "buckets")
-    few = met.where(F.col("n") <= bucket).select("k", "fp")
-    a, b = few.select("k", F.col("fp").alias("a")), few.select("k", F.col("fp").alias("b"))
-    near = a.join(b, "k").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).select("a", "b")
-    many = met.where(F.col("n") > bucket).select("fp").distinct()
-    around = F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda i: F.when(i < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(i, F.lit(0))))))
-    mids = many.select("fp", F.explode(around).alias("mid")).groupBy("mid").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("bs"))
-    far = mids.where(F.size("bs") > 1).select("a", F.explode("bs").alias("b")).where("a < b")
-    return space.keep(near.unionByName(far).distinct(), "links")
+    """(a, b), a < b: the pairs of different fingerprints within max_distance bits.
+
+    A bucket of more than ``bucket`` fingerprints is cut into blocks again, of
+    the bits that its members may still differ in, until there are LAST such
+    bits at most. Every bucket that is paired is small by then, whatever the
+    corpus; buckets of any size give the same pairs.
+    """
+    if not 0 <= max_distance <= LAST - 2:
+        raise ValueError(f"max_distance must be 0 to {LAST - 2}, not {max_distance}")
+    n, width, found = max_distance + 2, 64, []
+    rows = nodes.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"))
+    while True:
+        cuts = [width * i // n for i in range(n + 1)]
+        sizes = [hi - lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        blocks = [F.shiftrightunsigned("rest", width - hi).bitwiseAND(F.lit((1 << size) - 1)) for hi, size in zip(cuts[1:], sizes, strict=True)]
+
+        def others(*pair: int) -> Column:
+            return reduce(lambda x, k: F.shiftleft(x, sizes[k]).bitwiseOR(blocks[k]), (k for k in range(n) if k not in pair), F.lit(0).cast("long"))  # noqa: B023
+
+        keyed = (F.struct(F.xxhash64("key", F.lit(c), blocks[i], blocks[j]).alias("key"), others(i, j).alias("rest")) for c, (i, j) in enumerate(combinations(range(n), 2)))
+        rows = rows.select("fp", F.explode(F.array(*keyed)).alias("x")).select("fp", "x.key", "x.rest")
+        width -= sum(sorted(sizes)[:2])
+        often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(_fresh(F.col("key")).alias("k"), "n")
+        met = space.keep(rows.select(_fresh(F.col("key")).alias("k"), "fp", "key", "rest").join(often, "k"), "buckets")
+        few = met if width <= max(LAST, n) else met.where(F.col("n") <= bucket)
+        a, b = few.select("k", F.col("fp").alias("a")), few.select("k", F.col("fp").alias("b"))
+        found.append(a.join(b, "k").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).select("a", "b"))
+        rows = met.where(F.col("n") > bucket).select("fp", "key", "rest")
+        if width <= max(LAST, n) or rows.isEmpty():
+            return space.keep(reduce(DataFrame.unionByName, found).distinct(), "links")
 
 
 def components(space: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -146,8 +156,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, bu
 def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate class: the one of the smallest id.
 
-    Ids are expected to be unique; where the smallest id repeats, its rows all
-    stay. Rows without an id stay, whatever their class: nothing names them.
+    Null and wordless texts are one class. Ids are expected to be unique; where
+    the smallest id repeats, its rows all stay. Rows without an id stay,
+    whatever their class: nothing names them. All columns are kept, whatever
+    their names; an empty table gives an empty one.
     """
     near = near_duplicates(docs, shingle, max_distance, id_col=id_col, text_col=text_col)
     gone = near.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_gone"))

@@ -248,9 +248,9 @@ def test_simhash_against_all_pairs(spark, sf_dir):
     assert {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in got} == {d: (fps[d], want[d]) for d in fps}
 
 
-@pytest.mark.parametrize("bucket", [0, 3, 64])
-def test_links_of_crowded_buckets(spark, bucket):
-    """Chains, clouds around one value, and far values; midpoints and pairs must find the same classes."""
+@pytest.mark.parametrize(("bucket", "distance"), [(0, 2), (3, 2), (64, 2), (3, 0), (3, 1), (3, 3), (8, 5)])
+def test_links_of_crowded_buckets(spark, bucket, distance):
+    """Chains, clouds around one value, and far values; buckets cut once or several times must find the same pairs."""
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(12)]
     fps = set(base)
@@ -264,9 +264,14 @@ def test_links_of_crowded_buckets(spark, bucket):
     fps = dict(enumerate(sorted(fps)))
     nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps.values()], "fp long")
     space = common.Workspace(spark, "t")
-    edges = simhash.links(space, nodes, 2, bucket)
+    edges = simhash.links(space, nodes, distance, bucket)
+    every = sorted(fps.values())
+    pairs = {(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if (a ^ b).bit_count() <= distance}
+    assert Counter(tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in edges.collect()) == Counter(pairs)
+    if not pairs:
+        return
     found = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(space, edges).collect()}
-    want = classes_slow(fps)
+    want = classes_slow(fps, distance)
     groups = defaultdict(set)
     for i, f in fps.items():
         groups[found.get(f, f)].add(i)
