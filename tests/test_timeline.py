@@ -1,5 +1,6 @@
 """Transcripts, timelines and frame search."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from rubrica.functions import speech, timeline
@@ -20,6 +21,42 @@ def test_transcripts(spark):
     assert one(spark, F.size(speech.units(F.lit("你好 吗"), F.lit("zh")))) == 3
 
 
+@pytest.mark.parametrize(
+    ("said", "form"),
+    [
+        ("twenty one, the twenty first and one oh one", "21 the 21st and 101"),
+        ("nineteen sixty five; the nineteen sixties; ten five", "1965 the 1960s 105"),
+        ("two hundred and five people and so on", "205 people and so on"),
+        ("five dollars and seven cents, twenty million euros", "$5.07 €20000000"),
+        ("one point five million or two and a half", "1500000 or 2.5"),
+        ("double five three and zero point five, minus ten", "553 and 0.5 -10"),
+        ("fifty per cent, 10 percent, 1960s and 274th", "50% 10% 1960s and 274th"),
+        ("one of the ones", "one of the ones"),
+        ("He'd been there, Mr. Smith's got it; you 're [noise] late (laughs)", "he had been there mister smith has got it you are late"),
+        ("The colour of the theatre, organised travelling", "the color of the theater organized traveling"),
+        ("Otherwise advertise a naïve surprise", "otherwise advertise a naive surprise"),
+        ("", ""),
+    ],
+)
+def test_english_transcripts(said, form):
+    assert speech.english_form(said) == form
+    assert speech.english_form(form) == form or "$" in form or "-" in form
+
+
+@pytest.mark.parametrize(
+    ("said", "form"),
+    [("2023年5月10日, 1,205.5元。", "二零二三年五月十日一千二百零五点五元"), ("50% 的 人，3/4", "百分之五十的人四分之三"), ("10086 100000 10010", "一万零八十六十万一万零一十"), ("电话13812345678", "电话一三八一二三四五六七八"), ("-3 1000001", "负三一百万零一")],
+)
+def test_chinese_transcripts(said, form):
+    assert speech.chinese_form(said) == form
+
+
+def test_normalisers_keep_nulls(spark):
+    df = spark.createDataFrame([("Ten",), (None,), ("",)], "t string")
+    got = df.select(speech.english(F.col("t")).alias("e"), speech.basic(F.col("t")).alias("b"), speech.chinese(F.col("t")).alias("c")).collect()
+    assert [tuple(r) for r in got] == [("10", "ten", "ten"), (None, None, None), ("", "", "")]
+
+
 def test_tags_and_topics(spark):
     s = " the man [t=1.5 s] runs [low confidence]  [t = 2→3 s]"
     tidy = one(spark, timeline.low_tag(F.lit(s)))
@@ -46,6 +83,31 @@ def test_sections_and_pairs(spark):
     assert [p.id for p in ordered] == [11, 12]
 
 
+def test_brackets(spark):
+    found = one(spark, timeline.brackets(F.lit("a [t = 3 → 1.5 s] b [PHASE=2] [LOW, t=4 s] [note] [t=soon s]")))
+    assert [(b.kind, b.low, b.high) for b in found] == [("t", 1.5, 3.0), ("phase", 2.0, 2.0), ("low", 4.0, 4.0), ("", None, None), ("vague", None, None)]
+    assert one(spark, timeline.topic_key(F.lit("A [note] man [t=soon s] Runs"))) == "a [note] man runs"
+    assert one(spark, timeline.low_tag(F.lit("[LOW] a [LOW, t=4 s] b"))) == "[LOW] a b"
+    bullets = one(spark, timeline.bullet_list(F.lit("Known:\n- a [t=1 s]\n * b\n2. c\n- d")))
+    assert bullets == ["a [t=1 s]", "b", "c", "d"]
+    assert one(spark, timeline.anchored(timeline.bullet_list(F.lit("- a [t=1 s]\n- b")), F.lit(0.0), F.lit(4.0))) == ["a [t=1 s]", "b [t=0.00→4.00 s]"]
+    assert tuple(one(spark, timeline.stats(F.lit("FRAME_COUNT_EMITTED: 8\nWINDOW_SPAN_ECHO: [ 0-4 ]")))) == (8, "0-4")
+    assert tuple(one(spark, timeline.stats(F.lit("none")))) == (None, None)
+
+
+def test_four_levels_of_frame_reasons(spark):
+    want = F.array(F.lit(11), F.lit(12))
+    for text, level, pairs in (
+        ("id: 11\nreasoning: a\nid: 12\nreasoning: b", 1, [(11, "a"), (12, "b")]),
+        ("id: 1\nreasoning: a\nid: 2\nreasoning: b", 2, [(11, "a"), (12, "b")]),
+        ("id: 1\nreasoning: a\nid: 5\nreasoning: b", 3, [(11, "a"), (12, "b")]),
+        ("Well:\nframe #12 - reason: it turns\n[99] x", 4, [(12, "it turns")]),
+        ("nothing at all", 0, []),
+    ):
+        got = one(spark, timeline.frame_reasons(F.lit(text), want))
+        assert (got.level, [(p.id, p.reason) for p in got.pairs]) == (level, pairs), text
+
+
 def test_frame_search(spark):
     rows = [("v", i, [1.0, float(i)], float(i % 3)) for i in range(10)]
     df = spark.createDataFrame(rows, "video_id string, frame_index int, embedding array<double>, score double")
