@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: ASCII punctuation. Fixed values.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: First code point that stands for a token in token_distance(); the last is below the surrogates.
 _FIRST, _LAST = 0x3400, 0xD7FF
@@ -98,13 +99,18 @@ def similarity(a: Column, b: Column) -> Column:
 # --- overlaps of token arrays
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Tokens that both arrays have, with repeats. For answers; whole texts are counted relationally."""
+def numbered(a: Column) -> Column:
+    """Tokens with the number of their like before them, so that repeats differ; sorted."""
+
+    def number(s: Column) -> Column:
+        return F.transform(s, lambda x, i: F.concat_ws("\x01", x, (i + 1 - F.array_position(s, x)).cast("string")))
+
+    return let(number, F.array_sort(a))
 
-    def common(x: Column, y: Column) -> Column:
-        return F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(x, lambda z: z == t)), F.size(F.filter(y, lambda z: z == t))))
 
-    return let(common, a, b)
+def overlap(a: Column, b: Column) -> Column:
+    """Tokens that both arrays have, with repeats. For answers; whole texts are counted relationally."""
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def f1(common: Column, n_pred: Column, n_gold: Column) -> Column:
@@ -189,19 +195,28 @@ def characters(c: Column) -> Column:
 # --- numbers
 
 
+_BLANKS = " \t\n\r\f\x0b"
+
+
 def number(c: Column) -> Column:
     """A double where the text is a plain number, as a percentage over 100; else null."""
-    c = strip(c)
-    plain = F.regexp_replace(c, "%$", "")
-    value = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.cast("double"))
-    return F.when(c.endswith("%"), value / 100).otherwise(value)
+
+    def read(t: Column) -> Column:
+        share = t.endswith("%")
+        plain = F.when(share, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+        return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?%?$"), plain.try_cast("double") / F.when(share, 100.0).otherwise(1.0))
+
+    return let(read, F.btrim(c, F.lit(_BLANKS)))
 
 
 def relaxed_match(pred: Column, gold: Column, tolerance: float = 0.05) -> Column:
     """Numbers within a relative tolerance; anything else, and a target of 0, equal but for case."""
-    p, g = number(pred), number(gold)
-    close = F.abs(p - g) / F.abs(g) <= tolerance
-    return F.when(p.isNotNull() & g.isNotNull() & (g != 0), close).otherwise(F.lower(pred) == F.lower(gold)).cast("double")
+
+    def match(p: Column, g: Column, x: Column, y: Column) -> Column:
+        close = F.abs(p - g) / F.abs(g) <= tolerance
+        return F.when(p.isNotNull() & g.isNotNull() & (g != 0), close).otherwise(F.lower(x) == F.lower(y)).cast("double")
+
+    return let(match, number(pred), number(gold), pred, gold)
 
 
 def relative_accuracy(pred: Column, gold: Column) -> Column:
@@ -216,14 +231,18 @@ def difference_ratio(pred: Column, gold: Column) -> Column:
     return F.when(gold == 0, (pred == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(pred - gold) / F.abs(gold)))
 
 
-def vqa_accuracy(pred: Column, answers: Column) -> Column:
-    """Mean over annotators of min(1, matches among the others / 3)."""
-    hits = F.size(F.filter(answers, lambda a: a == pred))
+def vqa_share(hits: Column, answers: Column) -> Column:
+    """Mean over annotators of min(1, matches among the others / 3), from the number of matches and of answers."""
     # an annotator who agrees has hits - 1 others that do
     agreeing = F.least(F.lit(1.0), (hits - 1) / 3.0) * hits
-    return (agreeing + F.least(F.lit(1.0), hits / 3.0) * (F.size(answers) - hits)) / F.size(answers)
+    return (agreeing + F.least(F.lit(1.0), hits / 3.0) * (answers - hits)) / answers
+
+
+def vqa_accuracy(pred: Column, answers: Column) -> Column:
+    return vqa_share(F.size(F.filter(answers, lambda a: a == pred)), F.size(answers))
 
 
+#: Number words of answers. Fixed values.
 NUMBER_WORDS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 
 

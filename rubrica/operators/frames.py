@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rubrica.functions import timeline
 from rubrica.functions.geometry import cosine
-from rubrica.operators.selection import top_per_group
+from rubrica.operators.selection import positions, top_per_group
 
 
 def caption_similarity(frames: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -31,7 +31,10 @@ def selected_frames(scores: DataFrame, k: int, fps: Column) -> DataFrame:
 
 
 def known_info(bullets: DataFrame) -> DataFrame:
-    """Running state of topics (video_id, window, pos, bullet, start, end): merged intervals and phases, counts, last window, as of each row."""
+    """Running state of topics (video_id, window, pos, bullet, start, end): merged intervals and phases, counts, last window, as of each row.
+
+    A topic's bullets are taken in order, by one task.
+    """
     keyed = bullets.withColumn("topic", timeline.topic_key(F.col("bullet"))).where("topic <> ''").withColumn("a", timeline.anchors(F.col("bullet"), F.col("start"), F.col("end")))
     w = Window.partitionBy("video_id", "topic").orderBy("window", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = {"t_start": F.min("a.t_start"), "t_end": F.max("a.t_end"), "p_min": F.min("a.p_min"), "p_max": F.max("a.p_max"), "seen": F.count("*")}
@@ -48,17 +51,23 @@ def known_summary(state: DataFrame, items: int = 6) -> DataFrame:
 
 
 def with_new_ids(rows: DataFrame, table: DataFrame, order: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Rows numbered on from the table's largest id.
+    """Rows numbered on from the table's largest id, in order; no task holds all rows."""
+    # broadcast: one row
+    last = table.agg(F.coalesce(F.max(id_col), F.lit(-1)).cast("long").alias("_last"))
+    return positions(rows, order).join(F.broadcast(last)).withColumn(id_col, F.col("_last") + 1 + F.col("_pos")).drop("_pos", "_size", "_last")
 
-    Two passes: counts by range of the order, then numbers inside each range;
-    no task holds all rows.
+
+def live_benchmark(pages: DataFrame, table: DataFrame, generate: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame], threshold: float = 5.0, per_subtask: int = 50) -> DataFrame:
+    """The table with new items of captured pages.
+
+    ``generate`` makes (url, subtask, question, answer) of pages that no item
+    is from, ``check`` adds a score; what passes is numbered on from the table.
     """
-    last = table.agg(F.coalesce(F.max(id_col), F.lit(-1)).cast("long").alias("_last"))
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    parts = parts.select("*", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return parts.join(before, "_p").join(F.broadcast(last)).withColumn(id_col, F.col("_last") + 1 + F.col("_b") + F.col("_i")).drop("_m", "_p", "_i", "_b", "_last")
+    fresh = pages.join(table.select("url").distinct(), "url", "left_anti")
+    scored = check(generate(fresh))
+    numbered = with_new_ids(scored, table, ["url", "subtask", "question"])
+    good = quality_checked(numbered, threshold, per_subtask)
+    return table.unionByName(good.select(*table.columns))
 
 
 def quality_checked(items: DataFrame, threshold: float = 5.0, per_subtask: int = 50, dropped: Sequence[str] = ()) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rubrica.sources.staging import staged
+
 Aggregation = Callable[..., Column]
 AGGREGATIONS: dict[str, Aggregation] = {}
 #: metric -> (aggregation, whether higher is better); fixed values.
@@ -35,9 +38,10 @@ def mean(x: Column) -> Column:
 
 
 @register("median")
-def median(x: Column) -> Column:
-    """The upper middle of the sorted values, exact."""
-    return F.get(F.array_sort(F.collect_list(x)), (F.count(x) / 2).cast("int"))
+def median(x: Column | str) -> Column:
+    """The upper middle of the sorted values of a column, given by name; exact. Tasks send counts of different values, not rows."""
+    name = x if isinstance(x, str) else str(x).removeprefix("Column<'").removesuffix("'>")
+    return F.expr(f"percentile_disc(0.5) within group (order by `{name}` desc)")
 
 
 @register("perplexity")
@@ -74,6 +78,15 @@ def matthews(gold: Column, pred: Column) -> Column:
     return F.when(den == 0, 0.0).otherwise((c["tp"] * c["tn"] - c["fp"] * c["fn"]) / den)
 
 
+def matthews_classes(gold: Column, pred: Column, classes: int) -> Column:
+    """MCC of class numbers 0 to classes - 1, from each class's counts; 0 where one side has one class alone."""
+    total, right = F.count("*").cast("double"), F.count_if(gold == pred).cast("double")
+    counts = [(F.count_if(gold == k).cast("double"), F.count_if(pred == k).cast("double")) for k in range(classes)]
+    both, golds, preds = (sum((f(g, p) for g, p in counts), F.lit(0.0)) for f in (lambda g, p: g * p, lambda g, p: g * g, lambda g, p: p * p))
+    den = F.sqrt((total * total - golds) * (total * total - preds))
+    return F.when(den == 0, 0.0).otherwise((right * total - both) / den)
+
+
 @register("brier_score")
 def brier(probabilities: Column, gold: Column) -> Column:
     """Mean over rows of the squared distance between probabilities and the one-hot target."""
@@ -137,6 +150,17 @@ def all_correct(df: DataFrame, hit: Column, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.bool_and(hit).alias("all")).agg(F.avg(F.col("all").cast("double")).alias("all_correct"), F.count("*").alias("groups"))
 
 
+def all_correct_stderr(df: DataFrame, hit: Column, by: Sequence[str]) -> DataFrame:
+    """The error of the share of groups of which every member is a hit."""
+    return df.groupBy(*by).agg(F.bool_and(hit).cast("double").alias("all")).agg(stderr(F.col("all")).alias("all_correct_stderr"))
+
+
+def weighted_sum(df: DataFrame, score: Column, kind: str, weights: Mapping[str, float], scale: float = 1.0) -> DataFrame:
+    """One row, (total): the scores of each kind summed, times the kind's weight, over ``scale``; other kinds count nothing."""
+    table = F.create_map(*(F.lit(x) for k, w in weights.items() for x in (k, float(w))))
+    return df.agg((F.coalesce(F.sum(score * F.coalesce(table[F.col(kind)], F.lit(0.0))), F.lit(0.0)) / scale).alias("total"))
+
+
 def circular(df: DataFrame, hit: Column, index: Column, modulus: int = 1_000_000) -> DataFrame:
     """(base, hit): a question counts if all of its rotations, of equal index mod modulus, are hits."""
     return df.groupBy((index % modulus).alias("base")).agg(F.bool_and(hit).alias("hit"))
@@ -217,41 +241,71 @@ def least_field(scores: Column) -> Column:
 # --- corpus scores from additive parts
 
 
-def precision_parts(pred: Column, gold: Column, order: int = 4) -> Column:
-    """For n = 1..order the clipped matches and n-grams of a row, with lengths: sums of these give corpus BLEU."""
-    from rubrica.functions.text import ngrams, overlap
+def precision_parts(pred: Column, golds: Column, order: int = 4) -> Column:
+    """For n = 1..order the clipped matches and n-grams of a row, with lengths: sums of these give corpus BLEU.
 
-    grams = [(ngrams(pred, n), ngrams(gold, n)) for n in range(1, order + 1)]
-    return F.struct(*(F.array(overlap(p, g), F.size(p)).alias(f"n{i}") for i, (p, g) in enumerate(grams, 1)), F.size(pred).alias("pred"), F.size(gold).alias("gold"))
+    ``golds`` is an array of token arrays: an n-gram counts as often as the
+    reference that has it most, and the length is that of the reference
+    nearest to the prediction's, the shorter on ties.
+    """
+    from rubrica.functions.text import ngrams, numbered
+
+    def part(n: int) -> Column:
+        mine = numbered(ngrams(pred, n))
+        theirs = F.array_distinct(F.flatten(F.transform(golds, lambda g: numbered(ngrams(g, n)))))
+        return F.array(F.size(F.array_intersect(mine, theirs)), F.greatest(F.size(pred) - (n - 1), F.lit(0)))
+
+    nearest = F.array_min(F.transform(golds, lambda g: F.struct(F.abs(F.size(g) - F.size(pred)).alias("off"), F.size(g).alias("n"))))["n"]
+    return F.struct(*(part(n).alias(f"n{n}") for n in range(1, order + 1)), F.size(pred).alias("pred"), F.coalesce(nearest, F.lit(0)).alias("gold"))
+
+
+@register("bleu")
+def bleu_of(parts: Column, order: int = 4) -> Column:
+    """Corpus BLEU (0 to 100) from rows' precision_parts."""
+    sums = [[F.sum(parts[f"n{i}"][j]).cast("double") for j in (0, 1)] for i in range(1, order + 1)]
+    logs = [F.log(hits / grams) for hits, grams in sums]
+    none = reduce(lambda x, y: x | y, (F.coalesce(hits, F.lit(0.0)) == 0 for hits, _ in sums))
+    pred, gold = F.sum(parts["pred"]), F.sum(parts["gold"])
+    brevity = F.when(pred > gold, 1.0).otherwise(F.exp(1 - gold / pred))
+    return F.when(none, 0.0).otherwise(100 * brevity * F.exp(reduce(lambda x, y: x + y, logs) / order))
 
 
 def bleu(df: DataFrame, pred: Column, gold: Column, order: int = 4) -> DataFrame:
-    """Corpus BLEU (0 to 100) of token arrays; one partial aggregation of counts."""
-    parts = df.select(precision_parts(pred, gold, order).alias("p"))
-    sums = parts.agg(*(F.sum(F.col(f"p.n{i}")[j]).cast("double").alias(f"s{i}_{j}") for i in range(1, order + 1) for j in (0, 1)), F.sum("p.pred").alias("pred"), F.sum("p.gold").alias("gold"))
-    logs = [F.log(F.col(f"s{i}_0") / F.col(f"s{i}_1")) for i in range(1, order + 1)]
-    none = F.lit(False)
-    for i in range(1, order + 1):
-        none = none | (F.col(f"s{i}_0") == 0)
-    brevity = F.when(F.col("pred") > F.col("gold"), 1.0).otherwise(F.exp(1 - F.col("gold") / F.col("pred")))
-    return sums.select(F.when(none, 0.0).otherwise(100 * brevity * F.exp(sum(logs[1:], logs[0]) / order)).alias("bleu"))
+    """Corpus BLEU (0 to 100) of token arrays with one reference each; one partial aggregation of counts."""
+    return bleus(df, pred, F.array(gold), order).select(F.col(f"bleu_{order}").alias("bleu"))
 
 
-def chrf(df: DataFrame, pred: Column, gold: Column, order: int = 6, beta: float = 2.0) -> DataFrame:
-    """Corpus chrF (0 to 100): character n-grams, F with recall weighted by beta."""
+def bleus(df: DataFrame, pred: Column, golds: Column, order: int = 4) -> DataFrame:
+    """bleu_1 to bleu_order, of token arrays with an array of references each."""
+    parts = df.select(precision_parts(pred, golds, order).alias("p"))
+    return parts.agg(*(bleu_of(F.col("p"), n).alias(f"bleu_{n}") for n in range(1, order + 1)))
+
+
+def chrf_parts(pred: Column, gold: Column, order: int = 6) -> Column:
+    """For n = 1..order the character n-grams shared, predicted and wanted."""
     from rubrica.functions.text import char_ngrams, overlap
 
     grams = [(char_ngrams(pred, n), char_ngrams(gold, n)) for n in range(1, order + 1)]
-    sums = df.select(*(c.alias(f"{k}{i}") for i, (p, g) in enumerate(grams, 1) for k, c in (("m", overlap(p, g)), ("p", F.size(p)), ("g", F.size(g)))))
-    sums = sums.agg(*(F.sum(c).cast("double").alias(c) for c in sums.columns))
-    b = beta * beta
-    fs = []
+    return F.struct(*(F.array(overlap(p, g), F.size(p), F.size(g)).alias(f"n{i}") for i, (p, g) in enumerate(grams, 1)))
+
+
+@register("chrf")
+def chrf_of(parts: Column, order: int = 6, beta: float = 2.0) -> Column:
+    """Corpus chrF (0 to 100) from rows' chrf_parts: F with recall weighted by beta, over the orders that have n-grams."""
+    b, fs = beta * beta, []
     for i in range(1, order + 1):
-        p, r = F.try_divide(F.col(f"m{i}"), F.col(f"p{i}")), F.try_divide(F.col(f"m{i}"), F.col(f"g{i}"))
-        fs.append(F.coalesce(F.try_divide((1 + b) * p * r, b * p + r), F.lit(0.0)))
-    return sums.select((100 * sum(fs[1:], fs[0]) / order).alias("chrf"))
+        m, p, g = (F.sum(parts[f"n{i}"][j]).cast("double") for j in range(3))
+        precision, recall = F.try_divide(m, p), F.try_divide(m, g)
+        fs.append(F.coalesce(F.try_divide((1 + b) * precision * recall, b * precision + recall), F.lit(0.0)))
+    return 100 * reduce(lambda x, y: x + y, fs) / order
+
+
+def chrf(df: DataFrame, pred: Column, gold: Column, order: int = 6, beta: float = 2.0) -> DataFrame:
+    """Corpus chrF (0 to 100)."""
+    return df.select(chrf_parts(pred, gold, order).alias("p")).agg(chrf_of(F.col("p"), order, beta).alias("chrf"))
 
 
+@register("ter")
 def error_rate(distance: Column, length: Column) -> Column:
     """100 * summed distances over summed reference lengths."""
     return 100 * F.sum(distance) / F.sum(length)
@@ -266,11 +320,13 @@ def cider(candidates: DataFrame, references: DataFrame, id_col: str = "id", toke
     from rubrica.functions.text import ngrams
 
     def counts(df: DataFrame, extra: list[str]) -> DataFrame:
-        grams = F.array(*(F.transform(ngrams(F.col(tokens_col), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, order + 1)))
+        of = lambda n: F.transform(ngrams(F.col(tokens_col), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+        grams = F.array(*map(of, range(1, order + 1)))
         rows = df.select(id_col, *extra, F.explode(F.flatten(grams)).alias("x"))
         return rows.groupBy(id_col, *extra, "x.n", "x.g").agg(F.count("*").alias("tf"))
 
-    refs = references.withColumn("ref", F.monotonically_increasing_id())
+    # written once, so that a reference has one number in all its uses
+    refs = staged(references.withColumn("ref", F.monotonically_increasing_id()))
     ref_counts, cand_counts = counts(refs, ["ref"]), counts(candidates, [])
     images = references.agg(F.count_distinct(id_col).cast("double").alias("images"))
     df_ = ref_counts.select(id_col, "n", "g").distinct().groupBy("n", "g").agg(F.count("*").alias("df"))
@@ -294,14 +350,21 @@ def cider(candidates: DataFrame, references: DataFrame, id_col: str = "id", toke
 # --- groups of tasks
 
 
-def closure(members: DataFrame, depth: int = 8) -> DataFrame:
-    """(group, member, depth) of all ancestors, from direct memberships (group, member)."""
-    found = members.select("group", "member", F.lit(1).alias("depth"))
-    level = found
-    for d in range(2, depth + 1):
-        level = level.alias("x").join(members.alias("m"), F.col("x.member") == F.col("m.group")).select(F.col("x.group").alias("group"), F.col("m.member").alias("member"), F.lit(d).alias("depth"))
-        found = found.unionByName(level)
-    return found.groupBy("group", "member").agg(F.min("depth").alias("depth"))
+def closure(members: DataFrame) -> DataFrame:
+    """(group, member, depth) of all ancestors, from direct memberships (group, member); depth is the shortest way.
+
+    Ways are joined with each other until no pair is new, so their length
+    doubles each time; circles end too, and nothing is its own member.
+    """
+    found = staged(members.select("group", "member", F.lit(1).alias("depth")).where("group <> member").distinct())
+    n = found.count()
+    while True:
+        on = found.select(F.col("group").alias("member"), F.col("member").alias("beyond"), F.col("depth").alias("more"))
+        longer = found.join(on, "member").select("group", F.col("beyond").alias("member"), (F.col("depth") + F.col("more")).alias("depth")).where("group <> member")
+        found = staged(found.unionByName(longer).groupBy("group", "member").agg(F.min("depth").alias("depth")))
+        before, n = n, found.count()
+        if n == before:
+            return found
 
 
 def roll_up(results: DataFrame, members: DataFrame, weighted: bool = True) -> DataFrame:
@@ -322,29 +385,33 @@ def roll_up(results: DataFrame, members: DataFrame, weighted: bool = True) -> Da
 # --- resampling
 
 
-def _poisson_weight(key: Column) -> Column:
-    """A Poisson(1) count from a hash: by its cumulative probabilities."""
-    u = F.shiftrightunsigned(key, 11) * F.lit(2.0**-53)
-    cumulative, p, out = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(1, 12):
-        cumulative += p
-        p /= k
-        out = F.when(u >= cumulative, k).otherwise(out)
-    return out
+def _uniform(*keys: Column | str) -> Column:
+    """In (0, 1), by a hash of the keys."""
+    return (F.shiftrightunsigned(F.xxhash64(*keys), 11) + 0.5) * F.lit(2.0**-53)
+
+
+def poisson(mean: Column, *keys: Column | str) -> Column:
+    """A Poisson count by a hash of the keys: by its cumulative probabilities up to a mean of 50, beyond by the normal law."""
+    u = _uniform(F.lit(1), *keys)
+    step = lambda a, k: F.when(a["left"] <= 0, a).otherwise(F.struct((a["left"] - a["p"] * mean / k).alias("left"), (a["p"] * mean / k).alias("p"), k.cast("double").alias("k")))
+    start = F.struct((u - F.exp(-mean)).alias("left"), F.exp(-mean).alias("p"), F.lit(0.0).alias("k"))
+    exact = F.aggregate(F.sequence(F.lit(1), F.lit(150)), start, step)["k"]
+    normal = F.sqrt(-2 * F.log(u)) * F.cos(F.lit(6.283185307179586) * _uniform(F.lit(2), *keys))
+    return F.when(mean <= 50, exact).otherwise(F.greatest(F.lit(0.0), F.round(mean + F.sqrt(mean) * normal)))
 
 
-def bootstrap(df: DataFrame, value: Column, row_id: Column, by: Sequence[str] = (), resamples: int = 1000, seed: int = 1234) -> DataFrame:
+def bootstrap(df: DataFrame, value: Column, by: Sequence[str] = (), resamples: int = 1000, seed: int = 1234) -> DataFrame:
     """(by, mean, stderr, low, high): error and 95 % interval of a mean.
 
-    Poisson resampling: each row weighs in each resample by a hash of its id,
-    so resamples are sums that combine before the shuffle; ``resamples`` sums
-    a group are shuffled, whatever the rows.
+    Poisson resampling of the counts of equal values: a value that n rows have
+    weighs Poisson(n) in a resample, as n rows that weigh Poisson(1) each would.
+    So it is different values, not rows, that are multiplied by the resamples.
     """
-    rows = df.select(*by, value.cast("double").alias("v"), row_id.alias("r"))
-    sums = rows.groupBy(*by).agg(F.avg("v").alias("mean"))
-    each = rows.select(*by, "v", "r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    each = each.withColumn("w", _poisson_weight(F.xxhash64(F.lit(seed), "r", "b")))
+    counts = df.select(*by, value.cast("double").alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("n"))
+    sums = counts.groupBy(*by).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    each = counts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", poisson(F.col("n").cast("double"), F.lit(seed), "v", "b", *by))
     means = each.groupBy(*by, "b").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
     spread = means.groupBy(*by).agg(F.stddev_samp("m").alias("stderr"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
+    # broadcast: one row where there are no groups
     joined = sums.join(spread, list(by)) if by else sums.join(F.broadcast(spread))
     return joined.select(*by, "mean", "stderr", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))

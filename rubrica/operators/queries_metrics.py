@@ -15,6 +15,7 @@ from rubrica.functions import text as T
 from rubrica.functions.filters import majority
 from rubrica.operators import metrics as M
 from rubrica.operators.registry import Tables, query, rounded
+from rubrica.operators.selection import positions, top_per_group
 from rubrica.plans import evaluate as E
 
 _SCORED = "(SELECT d.*, l.quality, l.toxic, CASE WHEN (l.quality = 1) = (d.n_chars >= 200) THEN 1.0 ELSE 0.0 END AS hit FROM documents d JOIN labels l USING (doc_id)) s"
@@ -77,11 +78,11 @@ def mean_stderr(t: Tables) -> DataFrame:
 
 def _nation_results(t: Tables) -> DataFrame:
     rows = t.customer.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("value"), M.stderr(F.col("c_acctbal")).alias("stderr"), F.count("*").alias("n"))
-    return rows.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("task"), F.lit("balance").alias("metric"), F.lit("none").alias("filter_key"), "value", "stderr", "n", F.lit(True).alias("higher_is_better"))
+    return rows.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("task"), F.lit("balance").alias("metric"), F.lit("none").alias("filter_key"), "value", "stderr", "n", F.lit(True).alias("higher_is_better"))
 
 
 def _members(t: Tables) -> DataFrame:
-    direct = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("group"), F.col("n_name").alias("member"))
+    direct = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("group"), F.col("n_name").alias("member"))
     return direct.unionByName(t.region.select(F.lit("WORLD").alias("group"), F.col("r_name").alias("member")))
 
 
@@ -92,17 +93,17 @@ _GROUPED = "grp AS (SELECT r_name AS g, nat.* FROM nat JOIN region ON r_regionke
 @query(f"""WITH {_NATIONS}, {_GROUPED} SELECT g AS "group", 'balance' AS metric, 'none' AS filter_key, round(sum(value * n) / sum(n), 6) AS value,
   round(sqrt(sum((n - 1) * se * se * n) / (sum(n) - count(*)) / sum(n)), 6) AS stderr, CAST(sum(n) AS BIGINT) AS n, true AS higher_is_better FROM grp GROUP BY g""")
 def group_rollup_weighted(t: Tables) -> DataFrame:
-    return M.roll_up(_nation_results(t), M.closure(_members(t), 3)).withColumn("value", F.round("value", 6)).withColumn("stderr", F.round("stderr", 6))
+    return M.roll_up(_nation_results(t), M.closure(_members(t))).withColumn("value", F.round("value", 6)).withColumn("stderr", F.round("stderr", 6))
 
 
 @query(f"""WITH {_NATIONS}, {_GROUPED} SELECT g AS "group", round(avg(value), 6) AS value FROM grp GROUP BY g""")
 def group_mean_unweighted(t: Tables) -> DataFrame:
-    return M.roll_up(_nation_results(t), M.closure(_members(t), 3), weighted=False).select("group", F.round("value", 6).alias("value"))
+    return M.roll_up(_nation_results(t), M.closure(_members(t)), weighted=False).select("group", F.round("value", 6).alias("value"))
 
 
 @query("""SELECT 'WORLD' AS "group", r_name AS member, 1 AS depth FROM region UNION ALL SELECT r_name, n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'WORLD', n_name, 2 FROM nation""")
 def group_closure(t: Tables) -> DataFrame:
-    return M.closure(_members(t), 3)
+    return M.closure(_members(t))
 
 
 @query(r"""SELECT lang, round(exp(-avg(ll)), 6) AS perplexity, round(exp(-sum(ll) / sum(w)), 6) AS word_perplexity, round(exp(-sum(ll) / sum(b)), 6) AS byte_perplexity, round(-(sum(ll) / sum(b)) / ln(2), 6) AS bits_per_byte
@@ -114,7 +115,7 @@ def perplexity_family(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, list_sort(list(value))[count(value) // 2 + 1] AS median FROM events GROUP BY event_type")
 def median_per_type(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(M.median(F.col("value")).alias("median"))
+    return t.events.groupBy("event_type").agg(M.median("value").alias("median"))
 
 
 @query("SELECT 999.0::DOUBLE AS bypass, count(*) AS n FROM events")
@@ -213,12 +214,19 @@ def temporal_iou(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(rounded(F.avg(geometry.interval_iou(pred, gold)), "miou"))
 
 
-@query("""WITH u AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1)
-SELECT user_id, round(len(list_filter(v, lambda x: x BETWEEN 40 AND 60)) / len(v)::DOUBLE, 6) AS inside FROM u""")
+_IOU = "greatest(0, least({0}.e, {1}.e) - greatest({0}.s, {1}.s)) / (least(greatest({0}.e, {1}.e) - least({0}.s, {1}.s), {0}.e - {0}.s + {1}.e - {1}.s) + 1e-8)"
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, row_number() OVER () AS i, l_quantity AS s, l_quantity + 10 AS e FROM lineitem), g AS (SELECT unnest([5.0, 20.0, 35.0]) AS s, unnest([15.0, 30.0, 50.0]) AS e),
+x AS (SELECT l_orderkey, i, g.s AS gs, {_IOU.format('p', 'g')} > 0.3 AS hit FROM p, g),
+a AS (SELECT l_orderkey, avg(CASE WHEN h THEN 1.0 ELSE 0 END) AS v FROM (SELECT l_orderkey, i, bool_or(hit) AS h FROM x GROUP BY 1, 2) GROUP BY 1), b AS (SELECT l_orderkey, avg(CASE WHEN h THEN 1.0 ELSE 0 END) AS v FROM (SELECT l_orderkey, gs, bool_or(hit) AS h FROM x GROUP BY 1, 2) GROUP BY 1)
+SELECT l_orderkey, round(a.v, 6) AS precision, round(b.v, 6) AS recall FROM a JOIN b USING (l_orderkey)""")
 def detection_precision(t: Tables) -> DataFrame:
-    """Intervals [v - 1, v + 1] against [39, 61], as a share of those that lie inside."""
-    v = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    return v.select("user_id", rounded(F.size(F.filter("v", lambda x: x.between(40, 60))) / F.size("v"), "inside"))
+    """Each order's lines are intervals [quantity, quantity + 10], against three targets."""
+    orders = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.array("l_quantity", F.col("l_quantity") + 10)).alias("p"))
+    golds = F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in ((5.0, 15.0), (20.0, 30.0), (35.0, 50.0))))
+    precision, recall = geometry.detection_scores(F.col("p"), golds, 0.3)
+    return orders.select("l_orderkey", rounded(precision, "precision"), rounded(recall, "recall"))
 
 
 @query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
@@ -227,20 +235,25 @@ v AS (SELECT k, user_id, arg_max(event_type, c * 1000 - f) AS maj, max(CASE WHEN
 SELECT k::INT AS k, round(avg(cov), 6) AS cov, round(avg(CASE WHEN maj = 'click' THEN 1.0 ELSE 0 END), 6) AS maj, round(avg(av), 6) AS avg FROM v GROUP BY k""")
 def cov_maj_avg_at_k(t: Tables) -> DataFrame:
     """Per user the first k events are repeats; the answer is "click"."""
-    users = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type")))["event_type"].alias("resps"))
+    first = top_per_group(t.events, 8, ["user_id"], [F.col("event_id")])
+    users = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type")))["event_type"].alias("resps"))
     rows = users.select("resps", F.explode(F.array(*map(F.lit, (2, 4, 8)))).alias("k")).select("k", F.slice("resps", F.lit(1), F.col("k")).alias("r"))
     hit = lambda x: (x == "click").cast("double")
     return rows.groupBy("k").agg(rounded(F.avg(F.array_max(F.transform("r", hit))), "cov"), rounded(F.avg(hit(majority(F.col("r")))), "maj"), rounded(F.avg(F.aggregate(F.transform("r", hit), F.lit(0.0), lambda s, x: s + x) / F.size("r")), "avg"))
 
 
-@query("""WITH x AS (SELECT user_id, list(value ORDER BY event_id)[1:4] AS losses FROM events GROUP BY 1 HAVING count(*) >= 4), c AS (SELECT *, ['a', 'bbb', 'cc', 'dddd'] AS ch FROM x)
-SELECT round(avg(CASE WHEN list_position(losses, list_min(losses)) - 1 = user_id % 4 THEN 1.0 ELSE 0 END), 6) AS acc,
- round(avg(CASE WHEN list_position(n, list_min(n)) - 1 = user_id % 4 THEN 1.0 ELSE 0 END), 6) AS acc_norm, round(avg(CASE WHEN list_position(m, list_min(m)) - 1 = user_id % 4 THEN 1.0 ELSE 0 END), 6) AS acc_mutual_info
-FROM (SELECT *, [losses[1] / 1, losses[2] / 3, losses[3] / 2, losses[4] / 4] AS n, [losses[1] - 10, losses[2] - 20, losses[3] - 30, losses[4] - 5] AS m FROM c)""")
+@query("""WITH r AS (SELECT user_id, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p FROM events),
+c AS (SELECT user_id, p // 4 AS q, list(value ORDER BY event_id) AS losses FROM r GROUP BY 1, 2)
+SELECT round(avg(CASE WHEN list_position(losses, list_min(losses)) - 1 = (user_id + q) % 4 THEN 1.0 ELSE 0 END), 6) AS acc, count(*) AS questions,
+ round(avg(CASE WHEN list_position(n, list_min(n)) - 1 = (user_id + q) % 4 THEN 1.0 ELSE 0 END), 6) AS acc_norm, round(avg(CASE WHEN list_position(m, list_min(m)) - 1 = (user_id + q) % 4 THEN 1.0 ELSE 0 END), 6) AS acc_mutual_info
+FROM (SELECT *, list_transform(losses, lambda x, i: x / [1, 3, 2, 4][i]) AS n, list_transform(losses, lambda x, i: x - [10, 20, 30, 5][i]) AS m FROM c)""")
 def mcq_argmin(t: Tables) -> DataFrame:
-    users = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value")))["value"].alias("v")).where(F.size("v") >= 4)
-    s = E.multiple_choice_scores(F.slice("v", 1, 4), F.array(*map(F.lit, ("a", "bbb", "cc", "dddd"))), (F.col("user_id") % 4).cast("int"), F.array(*map(F.lit, (10.0, 20.0, 30.0, 5.0))))
-    return users.agg(*(rounded(F.avg(c), k) for k, c in s.items()))
+    """A user's events are losses, four to a question in order; the last question may have fewer choices."""
+    numbered = positions(t.events.select("user_id", "event_id", "value"), ["event_id"], ["user_id"])
+    q = numbered.groupBy("user_id", F.floor(F.col("_pos") / 4).alias("q")).agg(F.array_sort(F.collect_list(F.struct("event_id", "value")))["value"].alias("v"))
+    of = lambda *xs: F.slice(F.array(*map(F.lit, xs)), F.lit(1), F.size("v"))
+    s = E.multiple_choice_scores(F.col("v"), of("a", "bbb", "cc", "dddd"), ((F.col("user_id") + F.col("q")) % 4).cast("int"), of(10.0, 20.0, 30.0, 5.0))
+    return q.agg(*(rounded(F.avg(c), k) for k, c in s.items()), F.count("*").alias("questions"))
 
 
 @query("""SELECT round(avg(m), 6) AS mean_fields, round(avg(least_), 6) AS mean_least FROM (SELECT
@@ -263,19 +276,20 @@ def embedding_norms(t: Tables) -> DataFrame:
     return t.embeddings.groupBy("label").agg(F.round(F.stddev_pop(d), 4).alias("spread"), F.round(F.avg(d), 4).alias("mean_norm"))
 
 
-@query("""WITH x AS (SELECT vec_id, list_transform(embedding[1:16], lambda v: v::DOUBLE) AS p, list_transform(embedding[1:16], lambda v: floor(v::DOUBLE * 10) / 10) AS g FROM embeddings)
-SELECT vec_id, round(list_avg(list_transform(range(8), lambda i: exp(-10 * sqrt(power(p[2 * i + 1] - g[2 * i + 1], 2) + power(p[2 * i + 2] - g[2 * i + 2], 2)) / sqrt(2)))), 6) AS keypoints,
- round(1 - least(sqrt(list_avg(list_transform(range(16), lambda i: power(p[i + 1] - g[i + 1], 2)))), 0.1) / 0.1, 6) AS rescaled FROM x""")
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS p, list_transform(embedding, lambda v: floor(v::DOUBLE * 10) / 10) AS g FROM embeddings)
+SELECT vec_id, round(list_avg(list_transform(range(32), lambda i: exp(-10 * sqrt(power(p[2 * i + 1] - g[2 * i + 1], 2) + power(p[2 * i + 2] - g[2 * i + 2], 2)) / sqrt(2)))), 6) AS keypoints,
+ round(1 - least(sqrt(list_avg(list_transform(range(64), lambda i: power(p[i + 1] - g[i + 1], 2)))), 0.1) / 0.1, 6) AS rescaled FROM x""")
 def sequence_errors(t: Tables) -> DataFrame:
-    p = F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double"))
+    """Each vector as 32 points, against itself rounded down."""
+    p = F.transform("embedding", lambda v: v.cast("double"))
     e = t.embeddings.select("vec_id", p.alias("p"), F.transform(p, lambda v: F.floor(v * 10) / 10).alias("g"))
-    points = lambda c: F.array(*(F.array(F.col(c)[2 * i], F.col(c)[2 * i + 1]) for i in range(8)))
+    points = lambda c: F.transform(F.filter(F.transform(c, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda x: x["i"] % 2 == 0), lambda x: F.slice(F.col(c), x["i"] + 1, F.lit(2)))
     return e.select("vec_id", rounded(geometry.keypoint_similarity(points("p"), points("g")), "keypoints"), rounded(T.rescaled_error(F.col("p"), F.col("g")), "rescaled"))
 
 
 @query()
 def bootstrap_interval(t: Tables) -> DataFrame:
-    return M.bootstrap(scored(t), F.col("hit"), F.col("doc_id"), ["lang"], resamples=200)
+    return M.bootstrap(scored(t), F.col("hit"), ["lang"], resamples=200)
 
 
 @query("""SELECT l_returnflag, round(b - a, 6) AS delta FROM (SELECT l_returnflag, avg(l_discount) AS a, avg(l_tax) AS b FROM lineitem GROUP BY 1)""")
@@ -290,7 +304,7 @@ def model_compare_delta(t: Tables) -> DataFrame:
 @query("SELECT r_name, count(*) FILTER (WHERE h) AS hits, CASE WHEN count(DISTINCT h) = 1 THEN bool_and(h) END AS agreed FROM (SELECT r_name, n_nationkey % 2 = 0 AS h FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY 1")
 def higher_is_better(t: Tables) -> DataFrame:
     h = F.col("n_nationkey") % 2 == 0
-    j = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return j.groupBy("r_name").agg(F.count_if(h).alias("hits"), F.when(F.min(h) == F.max(h), F.max(h)).alias("agreed"))
 
 
@@ -312,3 +326,21 @@ def windowed_means(t: Tables) -> DataFrame:
     from rubrica.streaming.metrics import windowed_means as batch
 
     return batch(t.events, "ts", "value", "event_type").select("start", "event_type", "n", rounded(F.col("num"), "num", 4))
+
+
+@query("""WITH s AS (SELECT user_id, bool_and(event_id % 9 <> 0) AS a FROM events GROUP BY 1)
+SELECT round(stddev_samp(CASE WHEN a THEN 1.0 ELSE 0 END) / sqrt(count(*)), 6) AS all_correct_stderr FROM s""")
+def all_correct_error(t: Tables) -> DataFrame:
+    return M.all_correct_stderr(t.events, F.col("event_id") % 9 != 0, ["user_id"]).select(rounded(F.col("all_correct_stderr"), "all_correct_stderr"))
+
+
+@query("SELECT round(sum(CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 0.5 ELSE 0 END * CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) / 1000, 6) AS total FROM events")
+def weighted_kinds(t: Tables) -> DataFrame:
+    return M.weighted_sum(t.events, (F.col("event_id") % 3 == 0).cast("int"), "event_type", {"click": 2, "view": 0.5}, 1000).select(rounded(F.col("total"), "total"))
+
+
+@query("""WITH c AS (SELECT event_id % 4 AS g, user_id % 4 AS p FROM events), n AS (SELECT count(*)::DOUBLE AS s, sum(CASE WHEN g = p THEN 1 ELSE 0 END)::DOUBLE AS c FROM c),
+k AS (SELECT sum(tk * pk) AS tp, sum(tk * tk) AS tt, sum(pk * pk) AS pp FROM (SELECT k, sum(CASE WHEN g = k THEN 1 ELSE 0 END)::DOUBLE AS tk, sum(CASE WHEN p = k THEN 1 ELSE 0 END)::DOUBLE AS pk FROM c, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY k))
+SELECT round((c * s - tp) / sqrt((s * s - tt) * (s * s - pp)), 6) AS mcc FROM n, k""")
+def mcc_of_classes(t: Tables) -> DataFrame:
+    return t.events.agg(rounded(M.matthews_classes(F.col("event_id") % 4, F.col("user_id") % 4, 4), "mcc"))

@@ -100,7 +100,10 @@ def cosine_topk(t: Tables) -> DataFrame:
     return S.cosine_top(t.embeddings, first, 20).select("vec_id")
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT list(vec_id ORDER BY vec_id) AS ids, list(list_transform(embedding, lambda x: x::DOUBLE) ORDER BY vec_id) AS e FROM embeddings),
+s(step, pick, d) AS (SELECT 0, 1::BIGINT, list_transform(e, lambda x: list_sum(list_transform(range(1, len(x) + 1), lambda i: power(x[i] - e[1][i], 2)))) FROM v
+ UNION ALL SELECT step + 1, list_position(d, list_max(d))::BIGINT, list_transform(range(1, len(d) + 1), lambda k: least(d[k], list_sum(list_transform(range(1, len(e[1]) + 1), lambda i: power(e[k][i] - e[list_position(d, list_max(d))][i], 2))))) FROM s, v WHERE step < 9)
+SELECT step::INT AS step, ids[pick] AS id FROM s, v""")
 def kcenter_greedy(t: Tables) -> DataFrame:
     """A sampling operator: 10 centres."""
     return S.k_center(t.embeddings, 10)
@@ -150,9 +153,13 @@ def props_json_parse(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.element_at(F.map_values(props), 1).alias("first_value"))
 
 
-@query("SELECT page_id, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title_chars, len(regexp_extract_all(html, '<a href')) AS links FROM pages")
+_SHOWN = "regexp_replace(regexp_replace(html, '(?is)<(script|style|head|noscript|template)\\b.*?</(script|style|head|noscript|template)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+
+
+@query(f"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace({_SHOWN}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""")
 def page_capture(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.length(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).cast("long").alias("title_chars"), F.regexp_count("html", F.lit("<a href")).cast("long").alias("links"))
+    """What a captured page shows, as one line."""
+    return t.pages.select("page_id", io.page_text(F.col("html")).alias("text"))
 
 
 @query(r"""WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn - 1 AS turn, text AS resp FROM conversations WHERE role = 'assistant'), j AS (SELECT * FROM u JOIN a USING (conv_id, turn)),
@@ -172,7 +179,9 @@ def evaluate_end_to_end(t: Tables) -> DataFrame:
 SELECT user_id, 'first' AS filter_key, l[1] AS resp FROM r UNION ALL SELECT user_id, 'upper3', array_to_string(list_transform(l[1:3], lambda x: upper(x)), ',') FROM r
 UNION ALL SELECT user_id, 'mapped', CASE l[1] WHEN 'click' THEN 'C' WHEN 'view' THEN 'V' ELSE '?' END FROM r""")
 def filter_pipelines(t: Tables) -> DataFrame:
-    users = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type")))["event_type"].alias("resps"))
+    # no pipeline looks beyond the third response
+    first = S.top_per_group(t.events, 3, ["user_id"], [F.col("event_id")])
+    users = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type")))["event_type"].alias("resps"))
     pipes = {"first": ["take_first"], "upper3": [lambda r: F.slice(r, 1, 3), "uppercase"], "mapped": ["take_first", ("map", {"mapping": {"click": "C", "view": "V"}, "default": "?"})]}
     return apply_pipelines(users, pipes).select("user_id", "filter_key", F.array_join("resp", ",").alias("resp"))
 
@@ -192,10 +201,17 @@ def log_replay(t: Tables) -> DataFrame:
     return io.replayed(logs).join(counts, "doc_id").select(F.col("doc_id").alias("user_id"), "logs", F.col("event_id").alias("newest"))
 
 
-@query("SELECT o_orderpriority, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+@query("SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) - 1) // 64 AS batch FROM orders")
 def keyed_batches(t: Tables) -> DataFrame:
-    batches = S.keyed_batches(t.orders, ["o_orderpriority"], F.length("o_orderstatus"))
-    return batches.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    """Orders of one priority together, the dearest first, 64 to a batch."""
+    return S.keyed_batches(t.orders, ["o_orderpriority"], F.col("o_totalprice"), "o_orderkey", 64).select("o_orderkey", "batch")
+
+
+@query("SELECT part, count(*) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM (SELECT l_extendedprice, CAST(ntile(7) OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) - 1 AS INT) AS part FROM lineitem) GROUP BY 1")
+def divide_all(t: Tables) -> DataFrame:
+    """The whole table in seven contiguous parts, without one task that sees it all."""
+    d = S.divide(t.lineitem.select("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"), 7, ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"])
+    return d.groupBy("part").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
 
 
 @query("SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) WHERE before IS NULL OR ts - before >= INTERVAL 6 HOUR GROUP BY 1")

@@ -10,6 +10,7 @@ from rubrica.functions import text as T
 from rubrica.operators import metrics as M
 from rubrica.operators.registry import Tables, query, rounded
 
+_TOKENS = "list_filter(string_split_regex(lower({0}), '[ \\n\\t]+'), lambda x: x <> '')"
 _PAIRS = "(SELECT a.conv_id, a.turn, a.text AS gold, b.text AS pred FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) p"
 
 
@@ -27,9 +28,11 @@ def exact_match_normalised(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.exact_match(F.col("p_name"), F.col("p_type"), **how).alias("em"), T.exact_match(F.col("p_brand"), F.lit("BRAND"), **how).alias("brand"))
 
 
-@query("SELECT p_partkey, CASE WHEN lower(p_type) = lower(p_name) OR lower(p_type) = lower(p_type) THEN 1.0::DOUBLE ELSE 0 END AS em FROM part")
+@query("SELECT p_partkey, CASE WHEN lower(split_part(p_name, ' ', 1)) IN (lower(split_part(p_type, ' ', 1)), lower(split_part(p_type, ' ', 2)), lower(p_brand)) THEN 1.0::DOUBLE ELSE 0 END AS em FROM part")
 def exact_match_any_target(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", T.any_match(lambda g: T.exact_match(F.upper("p_type"), g, ignore_case=True), F.array("p_name", "p_type")).alias("em"))
+    """A name's first word against the type's words and the brand."""
+    word = lambda c, i: F.coalesce(F.get(F.split(c, " "), F.lit(i)), F.lit(""))
+    return t.part.select("p_partkey", T.any_match(lambda g: T.exact_match(F.upper(word("p_name", 0)), g, ignore_case=True), F.array(word("p_type", 0), word("p_type", 1), F.col("p_brand"))).alias("em"))
 
 
 @query(r"SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '[0-9]+') THEN regexp_extract(p_brand, '([0-9]+)', 1) ELSE '[invalid]' END AS digits, CASE WHEN regexp_matches(p_name, 'zzz') THEN 'zzz' ELSE '[invalid]' END AS none FROM part")
@@ -52,7 +55,14 @@ def cer_corpus(t: Tables) -> DataFrame:
     return t.part.agg(rounded(M.error_rate(F.levenshtein("p_name", "p_type"), F.length("p_type")), "cer"))
 
 
-@query()
+_DP_EDIT = """list_reduce(list_concat([range(0, len(p) + 1)], list_transform(g, lambda w: list_concat([-1::BIGINT], list_transform(p, lambda v: CASE WHEN v = w THEN 0 ELSE 1 END::BIGINT)))),
+ lambda row, cost: list_reduce(list_concat([[row[1] + 1]], list_transform(range(1, len(p) + 1), lambda j: [row[j + 1] + 1, row[j] + cost[j + 1]])), lambda acc, c: list_append(acc, least(c[1], c[2], acc[len(acc)] + 1))))"""
+_DP_COMMON = """list_reduce(list_concat([list_transform(range(0, len(p) + 1), lambda z: 0::BIGINT)], list_transform(g, lambda w: list_concat([-1::BIGINT], list_transform(p, lambda v: CASE WHEN v = w THEN 1 ELSE 0 END::BIGINT)))),
+ lambda row, same: list_reduce(list_concat([[0::BIGINT]], list_transform(range(1, len(p) + 1), lambda j: [row[j + 1], row[j] + same[j + 1]])), lambda acc, c: list_append(acc, greatest(c[1], c[2], acc[len(acc)]))))"""
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, {_TOKENS.format('pred')} AS p, {_TOKENS.format('gold')} AS g FROM {_PAIRS}), d AS (SELECT p, g, {_DP_EDIT} AS r FROM x)
+SELECT round(100.0 * sum(r[len(r)]) / sum(len(g)), 6) AS wer FROM d""")
 def wer_corpus(t: Tables) -> DataFrame:
     """Word error rate of neighbouring turns, inside the JVM."""
     p = pairs(t).select(T.tokens(F.lower("pred")).alias("p"), T.tokens(F.lower("gold")).alias("g"))
@@ -68,7 +78,6 @@ def ter_corpus(t: Tables) -> DataFrame:
     return p.agg(rounded(M.error_rate(arrow.translation_edits("p", "g"), F.size("g")), "ter"))
 
 
-_TOKENS = "list_filter(string_split_regex(lower({0}), '[ \\n\\t]+'), lambda x: x <> '')"
 
 
 @query(f"""WITH x AS (SELECT conv_id, turn, {_TOKENS.format('pred')} AS p, {_TOKENS.format('gold')} AS g FROM {_PAIRS}),
@@ -80,10 +89,10 @@ def token_f1(t: Tables) -> DataFrame:
     return p.select("conv_id", "turn", rounded(T.f1(T.overlap(F.col("p"), F.col("g")), F.size("p"), F.size("g")), "f1"))
 
 
-@query(f"""SELECT conv_id, turn, round(len(i) / len(u)::DOUBLE, 6) AS jaccard, round(len(i) / len(dp)::DOUBLE, 6) AS precision, round(len(i) / len(dg)::DOUBLE, 6) AS recall FROM
-(SELECT conv_id, turn, list_distinct(p) AS dp, list_distinct(g) AS dg, list_intersect(list_distinct(p), list_distinct(g)) AS i, list_distinct(list_concat(p, g)) AS u FROM (SELECT conv_id, turn, {_TOKENS.format('pred')} AS p, {_TOKENS.format('gold')} AS g FROM {_PAIRS})) WHERE len(dp) > 0 AND len(dg) > 0""")
+@query(f"""SELECT conv_id, turn, round(CASE WHEN len(u) = 0 THEN 1 ELSE len(i) / len(u)::DOUBLE END, 6) AS jaccard, round(CASE WHEN len(dp) = 0 THEN 1 ELSE len(i) / len(dp)::DOUBLE END, 6) AS precision, round(CASE WHEN len(dg) = 0 THEN 1 ELSE len(i) / len(dg)::DOUBLE END, 6) AS recall FROM
+(SELECT conv_id, turn, list_distinct(p) AS dp, list_distinct(g) AS dg, list_intersect(list_distinct(p), list_distinct(g)) AS i, list_distinct(list_concat(p, g)) AS u FROM (SELECT conv_id, turn, {_TOKENS.format('pred')} AS p, {_TOKENS.format('gold')} AS g FROM {_PAIRS})) """)
 def jaccard_tokens(t: Tables) -> DataFrame:
-    p = pairs(t).select("conv_id", "turn", T.tokens(F.lower("pred")).alias("p"), T.tokens(F.lower("gold")).alias("g")).where("size(p) > 0 and size(g) > 0")
+    p = pairs(t).select("conv_id", "turn", T.tokens(F.lower("pred")).alias("p"), T.tokens(F.lower("gold")).alias("g"))
     s = T.set_scores(F.col("p"), F.col("g"))
     return p.select("conv_id", "turn", *(rounded(s[k], k) for k in ("jaccard", "precision", "recall")))
 
@@ -98,18 +107,34 @@ def bleu_corpus(t: Tables) -> DataFrame:
     return M.bleu(p, F.col("p"), F.col("g")).select(F.round("bleu", 4).alias("bleu"))
 
 
-@query()
+_CHARS = "regexp_replace({0}, '\\s+', '', 'g')"
+
+
+@query(f"""WITH x AS (SELECT p_partkey AS k, {_CHARS.format('p_name')} AS p, {_CHARS.format('p_type')} AS g FROM part), n AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS n),
+pc AS (SELECT k, n, substr(p, i, n) AS w, count(*) AS c FROM (SELECT *, unnest(range(1, length(p) - n + 2)) AS i FROM x, n) GROUP BY ALL), gc AS (SELECT k, n, substr(g, i, n) AS w, count(*) AS c FROM (SELECT *, unnest(range(1, length(g) - n + 2)) AS i FROM x, n) GROUP BY ALL),
+m AS (SELECT n, sum(least(pc.c, gc.c))::DOUBLE AS m FROM pc JOIN gc USING (k, n, w) GROUP BY n), a AS (SELECT n, sum(c)::DOUBLE AS a FROM pc GROUP BY n), b AS (SELECT n, sum(c)::DOUBLE AS b FROM gc GROUP BY n)
+SELECT round(100 * sum(coalesce(5 * (m / a) * (m / b) / (4 * (m / a) + m / b), 0)) / 6, 6) AS chrf FROM n LEFT JOIN m USING (n) LEFT JOIN a USING (n) LEFT JOIN b USING (n)""")
 def chrf_corpus(t: Tables) -> DataFrame:
-    return M.chrf(t.part.select("p_name", "p_type"), F.col("p_name"), F.col("p_type"))
+    return M.chrf(t.part.select("p_name", "p_type"), F.col("p_name"), F.col("p_type")).select(rounded(F.col("chrf"), "chrf"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT conv_id, turn, {_TOKENS.format('pred')} AS p, {_TOKENS.format('gold')} AS g FROM {_PAIRS}), d AS (SELECT conv_id, turn, p, g, {_DP_COMMON} AS r FROM x)
+SELECT conv_id, turn, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN 0 ELSE 2.0 * r[len(r)] / (len(p) + len(g)) END, 6) AS rouge_l FROM d""")
 def rouge_l(t: Tables) -> DataFrame:
     p = pairs(t).select("conv_id", "turn", T.tokens(F.lower("pred")).alias("p"), T.tokens(F.lower("gold")).alias("g"))
     return p.select("conv_id", "turn", rounded(arrow.rouge_l(F.col("p"), F.col("g")), "rouge_l"))
 
 
-@query()
+_GRAMS = "SELECT id, {0}n, array_to_string(t[i:i + n - 1], ' ') AS g, count(*)::DOUBLE AS tf FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS i FROM {1}, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL"
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS id, {_TOKENS.format('p_name')} AS t FROM part), r AS (SELECT p_partkey AS id, 1 AS ref, {_TOKENS.format('p_type')} AS t FROM part UNION ALL SELECT p_partkey, 2, {_TOKENS.format('p_name')} FROM part),
+rc AS ({_GRAMS.format('ref, ', 'r')}), cc AS ({_GRAMS.format('', 'c')}), k AS (SELECT ln(count(DISTINCT id)::DOUBLE) AS top FROM r), df AS (SELECT n, g, count(*)::DOUBLE AS df FROM (SELECT DISTINCT id, n, g FROM rc) GROUP BY ALL),
+rw AS (SELECT id, ref, rc.n, rc.g, tf * (top - ln(df)) AS w FROM rc JOIN df ON df.n = rc.n AND df.g = rc.g, k), cw AS (SELECT id, cc.n, cc.g, tf * (top - ln(coalesce(df, 1))) AS w FROM cc LEFT JOIN df ON df.n = cc.n AND df.g = cc.g, k),
+rn AS (SELECT id, ref, n, sqrt(sum(w * w)) AS norm FROM rw GROUP BY ALL), cn AS (SELECT id, n, sqrt(sum(w * w)) AS norm FROM cw GROUP BY ALL),
+d AS (SELECT rw.id, ref, rw.n, sum(least(rw.w, cw.w) * rw.w) AS dot FROM rw JOIN cw ON rw.id = cw.id AND rw.n = cw.n AND rw.g = cw.g GROUP BY ALL),
+v AS (SELECT d.id, d.ref, CASE WHEN rn.norm * cn.norm = 0 THEN 0 ELSE dot / (rn.norm * cn.norm) END * exp(-power(len(c.t) - len(r.t), 2) / 72) AS v FROM d JOIN rn ON rn.id = d.id AND rn.ref = d.ref AND rn.n = d.n JOIN cn ON cn.id = d.id AND cn.n = d.n JOIN c ON c.id = d.id JOIN r ON r.id = d.id AND r.ref = d.ref)
+SELECT c.id, round(10 * coalesce(sum(v), 0) / 8, 6) AS cider FROM c LEFT JOIN v USING (id) GROUP BY c.id""")
 def cider(t: Tables) -> DataFrame:
     """Parts as images: the name is the caption, brand and type are references."""
     cand = t.part.select(F.col("p_partkey").alias("id"), T.tokens(F.lower("p_name")).alias("tokens"))
@@ -122,10 +147,13 @@ def damerau_near_match(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", arrow.damerau_levenshtein("p_name", "p_type").alias("distance"), arrow.near_match(F.col("p_name"), F.reverse("p_name")).alias("near"), rounded(arrow.block_ratio("p_name", "p_type"), "ratio"))
 
 
-@query("SELECT p_partkey, CAST(CASE WHEN substr(p_name, 1, 1) = substr(p_type, 1, 1) THEN 1 ELSE 0 END AS BIGINT) AS first_same FROM part")
+@query("""WITH x AS (SELECT p_partkey, replace(p_name, ' ', '') AS a, replace(p_type, ' ', '') AS b FROM part UNION ALL SELECT -1 - p_partkey, replace(p_name, ' ', ''), replace(p_name || p_type, ' ', '') FROM part)
+SELECT p_partkey, CAST(len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, 1, i) = substr(b, 1, i))) AS BIGINT) AS same FROM x""")
 def common_prefix(t: Tables) -> DataFrame:
-    a, b = T.characters(F.substring("p_name", 1, 1)), T.characters(F.substring("p_type", 1, 1))
-    return t.part.select("p_partkey", T.common_prefix(a, b).alias("first_same"))
+    """Names against types, and against themselves with the type behind."""
+    x = t.part.select("p_partkey", "p_name", "p_type")
+    x = x.unionByName(x.select((-1 - F.col("p_partkey")).alias("p_partkey"), "p_name", F.concat("p_name", "p_type").alias("p_type")))
+    return x.select("p_partkey", T.common_prefix(T.characters(F.col("p_name")), T.characters(F.col("p_type"))).alias("same"))
 
 
 @query("""SELECT l_returnflag, round(avg(CASE WHEN abs(l_extendedprice - q) / q <= 0.05 THEN 1.0 ELSE 0 END), 6) AS relaxed, count(*) AS n FROM (SELECT l_returnflag, l_extendedprice, p_retailprice * l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1""")
@@ -146,11 +174,12 @@ def difference_ratio(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", rounded(T.difference_ratio(F.col("c_acctbal"), F.lit(5000.0)), "ratio"))
 
 
-@query("""WITH a AS (SELECT user_id, list(event_type ORDER BY event_id)[1:10] AS ans FROM events GROUP BY 1)
-SELECT user_id, round(list_sum(list_transform(range(1, len(ans) + 1), lambda i: least(1.0, (len(list_filter(ans, lambda x: x = 'click')) - CASE WHEN ans[i] = 'click' THEN 1 ELSE 0 END) / 3.0))) / len(ans), 6) AS acc FROM a""")
+@query("""WITH a AS (SELECT user_id, list(event_type) AS ans FROM events GROUP BY 1)
+SELECT user_id, round(list_sum(list_transform(ans, lambda x: least(1.0, (len(list_filter(ans, lambda y: y = 'click')) - CASE WHEN x = 'click' THEN 1 ELSE 0 END) / 3.0))) / len(ans), 6) AS acc FROM a""")
 def vqa_soft_accuracy(t: Tables) -> DataFrame:
-    a = t.events.groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("event_id", "event_type")))["event_type"], 1, 10).alias("ans"))
-    return a.select("user_id", rounded(T.vqa_accuracy(F.lit("click"), F.col("ans")), "acc"))
+    """All events of a user are annotators' answers; what they agree on is counted, not gathered."""
+    a = t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("hits"), F.count("*").alias("n"))
+    return a.select("user_id", rounded(T.vqa_share(F.col("hits"), F.col("n")), "acc"))
 
 
 @query("SELECT p_partkey, 'Brand ' || p_brand || ': ' || lower(trim(p_name)) || ' (' || p_size || ')' AS prompt FROM part")
@@ -181,10 +210,14 @@ def id_expansion(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.array_join(extract.id_list(spec).cast("array<string>"), ",").alias("ids"))
 
 
-@query("SELECT event_id, upper(substr(event_type, 1, 1)) AS letter FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 6 < 5 THEN substr('ABCDE', event_id % 5 + 1, 1) END AS letter FROM events")
 def letter_extraction(t: Tables) -> DataFrame:
-    letter = F.upper(F.substring("event_type", 1, 1))
-    return t.events.select("event_id", extract.choice_letter(F.concat(F.lit("I think the answer is ("), letter, F.lit(").")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("letter"))
+    """Responses of six forms, the last without a letter, each with the event's properties around."""
+    letter, around = F.substring(F.lit("abcde"), (F.col("event_id") % 5 + 1).cast("int"), F.lit(1)), F.lower("props")
+    up = F.upper(letter)
+    forms = [F.concat(up, F.lit(". "), around), F.concat(F.lit("Well, the answer is ("), up, F.lit(") because "), around), F.concat(around, F.lit(" so ("), up, F.lit(")")), F.concat(F.lit("Option "), up, F.lit(" fits "), around), F.concat(around, F.lit(" "), up, F.lit(")")), around]
+    resp = F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int"))
+    return t.events.select("event_id", extract.choice_letter(resp, "ABCDE").alias("letter"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'yes' WHEN event_id % 3 = 1 THEN 'no' END AS first, CASE WHEN event_id % 3 = 0 THEN 'yes' WHEN event_id % 3 = 1 THEN 'no' ELSE 'other' END AS prefix FROM events")
@@ -193,11 +226,11 @@ def yes_no_parse(t: Tables) -> DataFrame:
     return t.events.select("event_id", extract.yes_no_first(r).alias("first"), extract.yes_no_prefix(r).alias("prefix"))
 
 
-@query("SELECT doc_id, NOT contains(text, ',') AS no_comma, text = lower(text) AND text <> upper(text) AS all_lower, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) >= 0 AS counted, starts_with(trim(text), '\"') AND ends_with(trim(text), '\"') AND length(trim(text)) > 1 AS quoted FROM documents")
+@query("SELECT doc_id, NOT contains(text, ',') AS no_comma, text = lower(text) AND text <> upper(text) AS all_lower, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) >= 200 AS counted, starts_with(trim(text), '\"') AND ends_with(trim(text), '\"') AND length(trim(text)) > 1 AS quoted FROM documents")
 def instruction_checks(t: Tables) -> DataFrame:
     r = F.col("text")
     c = instructions.CHECKS
-    return t.documents.select("doc_id", c["punctuation:no_comma"](r).alias("no_comma"), c["change_case:english_lowercase"](r).alias("all_lower"), c["length_constraints:number_words"](r, num_words=0, relation="at least").alias("counted"), c["startend:quotation"](r).alias("quoted"))
+    return t.documents.select("doc_id", c["punctuation:no_comma"](r).alias("no_comma"), c["change_case:english_lowercase"](r).alias("all_lower"), c["length_constraints:number_words"](r, num_words=200, relation="at least").alias("counted"), c["startend:quotation"](r).alias("quoted"))
 
 
 @query(f"""WITH x AS (SELECT conv_id, turn, pred, gold, regexp_extract_all(lower(pred), '[\\p{{L}}\\p{{N}}_]+') AS p, regexp_extract_all(lower(gold), '[\\p{{L}}\\p{{N}}_]+') AS g FROM {_PAIRS}),

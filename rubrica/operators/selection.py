@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubrica.functions.geometry import cosine
+from rubrica.functions.text import ngrams, tokens
+from rubrica.sources.staging import staged
 
 
 def limit_docs(docs: DataFrame, limit: float | None, doc_id: str = "doc_id") -> DataFrame:
@@ -26,18 +28,50 @@ def stride_shard(df: DataFrame, rank: int, world: int, doc_id: str = "doc_id") -
     return df.where(F.pmod(F.col(doc_id), F.lit(world)) == rank)
 
 
+def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_pos``, 0 and on in each group's order, and ``_size``, the group's rows.
+
+    Without groups no task sees all rows: they are dealt by ranges of the order
+    and written, then numbered in each range behind the ranges before it.
+    """
+    if by:
+        group = Window.partitionBy(*by)
+        return df.withColumn("_pos", (F.row_number().over(group.orderBy(*order)) - 1).cast("long")).withColumn("_size", F.count("*").over(group))
+    ranged = staged(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one row for each task
+    every = Window.orderBy("_range")
+    before = sizes.select("_range", (F.sum("_n").over(every) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_size"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_in", inside).join(before, "_range").withColumn("_pos", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
+
+
 def divide(df: DataFrame, parts: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``part``, 0 to parts - 1: contiguous parts of which sizes differ by one at most."""
-    return df.withColumn("part", F.ntile(parts).over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    """Adds ``part``, 0 to parts - 1: contiguous parts of which sizes differ by one at most, the larger ones first."""
+    if by:
+        return df.withColumn("part", F.ntile(parts).over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    small, larger = F.floor(F.col("_size") / parts), F.pmod(F.col("_size"), F.lit(parts))
+    head = larger * (small + 1)
+    part = F.when(F.col("_pos") < head, F.floor(F.col("_pos") / (small + 1))).otherwise(larger + F.floor((F.col("_pos") - head) / F.greatest(small, F.lit(1))))
+    return positions(df, order).withColumn("part", part.cast("int")).drop("_pos", "_size")
 
 
 def chunks(df: DataFrame, size: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size))
+    """Adds ``chunk``: runs of ``size`` rows in order, the last one shorter."""
+    return positions(df, order, by).withColumn("chunk", F.floor(F.col("_pos") / size)).drop("_pos", "_size")
+
 
+def keyed_batches(df: DataFrame, keys: Sequence[str], length: Column, id_col: str, size: int) -> DataFrame:
+    """Adds ``batch``, 0 and on in each key: rows of like generation settings together, long ones first, ``size`` to a batch.
 
-def keyed_batches(df: DataFrame, keys: Sequence[str], length: Column) -> DataFrame:
-    """Rows of like generation settings together, long ones first; ids keep the order of results."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, length.desc())
+    Keys are few and may be hot, so rows are ordered over all tasks and a key's
+    first place is taken off. Ids say the order of results.
+    """
+    placed = positions(df.withColumn("_length", -length), [*keys, "_length", id_col])
+    start = placed.groupBy(*keys).agg(F.min("_pos").alias("_first"))
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = placed.alias("a").join(start.alias("b"), on).select("a.*", "_first")
+    return joined.withColumn("batch", F.floor((F.col("_pos") - F.col("_first")) / size)).drop("_pos", "_size", "_first", "_length")
 
 
 def matching(df: DataFrame, column: str, patterns: Sequence[str]) -> DataFrame:
@@ -156,7 +190,7 @@ def k_center(df: DataFrame, k: int, vector: str = "embedding", id_col: str = "ve
         d = F.aggregate(F.zip_with("v", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
         state = state.withColumn("d", F.least("d", d))
         if step % 8 == 0:
-            state = state.checkpoint()
+            state = staged(state)
         best = state.agg(F.max_by(F.struct("id", "v"), F.struct("d", -F.col("id"))).alias("b")).first()["b"]
         picked.append(best["id"])
         centre = best["v"]
@@ -185,7 +219,7 @@ def rolling_token_windows(tokens: Column, width: int, context: int = 1) -> Colum
 
 
 def running_topics(df: DataFrame, order: Sequence[str], by: Sequence[str], start: str, end: str) -> DataFrame:
-    """Adds the state so far of each key: first start, last end, how often seen."""
+    """Adds the state so far of each key: first start, last end, how often seen. A key's rows are taken in order, by one task."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("first_start", F.min(start).over(w)).withColumn("last_end", F.max(end).over(w)).withColumn("seen", F.count("*").over(w))
 
@@ -206,3 +240,33 @@ _SAFE = re.compile(r"[^\w\-.]")
 
 def safe_name(name: str) -> str:
     return _SAFE.sub("_", name)
+
+
+def decontaminated(items: DataFrame, corpus: DataFrame, words: int = 8, item_id: str = "item_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(item_id, documents): in how many documents of the corpus some run of ``words`` words of an item's text is found; 0 for none.
+
+    Runs are compared in lower case. Those of the items are the smaller side;
+    a run that many documents share is met once a document and item.
+    """
+    runs = lambda df, key: df.select(key, F.explode(F.array_distinct(ngrams(tokens(F.lower(text)), words))).alias("run"))
+    mine = runs(items, item_id).select(item_id, F.xxhash64("run").alias("h"), "run")
+    theirs = runs(corpus, doc_id).select(doc_id, F.xxhash64("run").alias("h"), "run")
+    met = theirs.join(mine, ["h", "run"]).groupBy(item_id, doc_id).agg(F.count("*").alias("runs"))
+    found = met.groupBy(item_id).agg(F.count("*").alias("documents"))
+    return items.select(item_id).join(found, item_id, "left").select(item_id, F.coalesce("documents", F.lit(0).cast("long")).alias("documents"))
+
+
+def is_long(doc: DataFrame, seconds: float = 60.0) -> Column:
+    """Whether a document's video is long: a duration label says so, or its seconds reach the bound; of nested metadata too."""
+    labels, numbers = ("duration", "duration_label", "duration_category"), ("duration_sec", "duration_seconds", "video_duration", "video_time")
+    kinds, found = dict(doc.dtypes), F.lit(False)
+    places = [(k, F.col(k)) for k in doc.columns]
+    for outer in ("meta", "metadata"):
+        if kinds.get(outer, "").startswith("struct"):
+            places += [(k, F.col(outer)[k]) for k in doc.schema[outer].dataType.names]
+    for k, c in places:
+        if k in labels:
+            found = found | F.coalesce(F.lower(F.trim(c.cast("string"))) == "long", F.lit(False))
+        elif k in numbers:
+            found = found | F.coalesce(c.try_cast("double") >= seconds, F.lit(False))
+    return found

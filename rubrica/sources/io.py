@@ -58,6 +58,62 @@ def captions(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("video_id", F.explode("frames").alias("k", "f")).select("video_id", "f.frame_index", "f.ts", "f.caption")
 
 
+#: Named character references that page_text() reads; the ampersand comes last. Fixed values.
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def page_text(html: Column) -> Column:
+    """All text that a page shows, as one line, inside the JVM: without scripts, styles, head and tags."""
+    shown = F.regexp_replace(html, r"(?is)<(script|style|head|noscript|template)\b.*?</(script|style|head|noscript|template)>|<!--.*?-->", " ")
+    shown = F.regexp_replace(shown, r"(?s)<[^>]*>", " ")
+    for name, sign in _REFERENCES:
+        shown = F.replace(shown, F.lit(name), F.lit(sign))
+    return F.trim(F.regexp_replace(shown, r"[ \t\r\n]+", " "))
+
+
+def unpacked(archives: Sequence[str], folder: str) -> list[str]:
+    """The files of ZIP and TAR archives, unpacked below a folder all executors see; parts name.tar.partN are joined in order.
+
+    For the driver, before a scan: archives are few, their files are read by
+    media_files(). Members that would leave the folder are an error.
+    """
+    import io as streams
+    import itertools
+    import re
+    import tarfile
+    import zipfile
+
+    out: list[str] = []
+    key = lambda p: re.sub(r"\.part\d+$", "", p)
+    number = lambda p: int(m[1]) if (m := re.search(r"\.part(\d+)$", p)) else 0
+    for name, parts in itertools.groupby(sorted(archives, key=lambda p: (key(p), number(p))), key):
+        parts = list(parts)
+        to = os.path.join(folder, re.sub(r"\.(zip|tar(\.\w+)?|tgz)$", "", os.path.basename(name)))
+        os.makedirs(to, exist_ok=True)
+        if name.endswith(".zip"):
+            with zipfile.ZipFile(parts[0]) as z:
+                if any(os.path.isabs(n) or ".." in n.split("/") for n in z.namelist()):
+                    raise ValueError(f"{name} has members outside of its folder")
+                z.extractall(to)
+        else:
+            whole = streams.BytesIO(b"".join(open(p, "rb").read() for p in parts)) if len(parts) > 1 else open(parts[0], "rb")
+            with whole, tarfile.open(fileobj=whole) as t:
+                t.extractall(to, filter="data")
+        out += sorted(os.path.join(base, n) for base, _, names in os.walk(to) for n in names)
+    return out
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """An embedding cache: (key, vector), the newest write of a key wins on reading."""
+    vectors.withColumn("written", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def cached_vectors(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
+    """The cache's vectors, one for each key."""
+    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("written")))
+    return spark.read.parquet(path).withColumn("_rn", newest).where("_rn = 1").drop("_rn", "written")
+
+
 def replayed(logs: DataFrame) -> DataFrame:
     """Responses (task, doc_id, resp) of logged runs (with log_time): the newest log of a document wins."""
     w = Window.partitionBy("task", "doc_id").orderBy(F.desc("log_time"))
