@@ -23,7 +23,7 @@ SPELLINGS = (
     ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("maximise", "maximize"),
     ("modelled", "modeled"), ("modelling", "modeling"), ("noncommercial", "non commercial"), ("offence", "offense"), ("optimise", "optimize"),
     ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"),
-    ("recognise", "recognize"), ("signalling", "signaling"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "wilfull"),
+    ("recognise", "recognize"), ("signalling", "signaling"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("wilfull", "willful"),
 )
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -90,7 +90,7 @@ _MPL = ("This Source Code Form is subject to the terms of the Mozilla Public", "
 
 
 def more_known() -> list[tuple[str, str]]:
-    """Further licences and notices, in the form of KNOWN, which stays as the SQL has it."""
+    """Further licences and notices, in the form of KNOWN."""
     texts = {i: files("rubrica.llm").joinpath(f"license_texts/{i}.txt").read_text("utf-8") for i in FILED}
     terms, end = texts["Apache-2.0"], "END OF TERMS AND CONDITIONS"
     out = [*texts.items(), ("Apache-2.0", terms[: terms.index(end) + len(end)]), ("Apache-2.0", terms[: terms.index(end)])]
@@ -110,10 +110,18 @@ COPYRIGHT = r"^(copyright|c) (c |[0-9])[^\n]*$|^all rights reserved$"
 BROADCAST_ROWS = 100_000
 
 
-def _steps() -> list[tuple[str, str]]:
-    """Replacements of the canonical form, after lower case, in order; both SQL dialects read them alike."""
-    words = [(f"(^| ){a}( |$)", rf"\1{b}\2") for a, b in SPELLINGS]
-    return [(r"\r\n?", "\n"), ("©", "c"), (r"[^\p{L}\p{N}\n]+", " "), (r" ?\n ?", "\n"), (r"(^ | $)", ""), *words]
+#: Spellings of single words, and of phrases.
+_WORDS = {a: b for a, b in SPELLINGS if " " not in a}
+_PHRASES = [(a, b) for a, b in SPELLINGS if " " in a]
+
+
+def spelled(line: Column) -> Column:
+    """A canonical line in one spelling: each word looked up by itself, then phrases. Doing it again changes nothing."""
+    table = F.create_map(*(F.lit(x) for pair in _WORDS.items() for x in pair))
+    out = F.array_join(F.transform(F.split(line, " "), lambda w: F.coalesce(table[w], w)), " ")
+    for a, b in _PHRASES:
+        out = F.regexp_replace(out, f"(?<![^ ]){a}(?![^ ])", b)
+    return out
 
 
 def canonical_lines(text: Column) -> Column:
@@ -121,19 +129,12 @@ def canonical_lines(text: Column) -> Column:
 
     Spellings are looked up only in lines that contain one of them.
     """
-    out = F.lower(F.coalesce(text, F.lit("")))
-    for old, new in _steps()[:5]:
-        out = F.regexp_replace(out, old, new)
-    lines = F.filter(F.split(out, "\n"), lambda x: (x != "") & ~x.rlike(COPYRIGHT))
+    out = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("©"), F.lit("c"))
+    out = F.regexp_replace(F.regexp_replace(out, r"\r\n?", "\n"), r"[^\p{L}\p{N}\n]+", " ")
+    lines = F.transform(F.split(out, "\n"), lambda x: F.trim(x))
+    lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT))
     words = "|".join(a for a, _ in SPELLINGS)
-
-    def spelled(x: Column) -> Column:
-        y = x
-        for old, new in _steps()[5:]:
-            y = F.regexp_replace(y, old, new.replace(r"\1", "$1").replace(r"\2", "$2"))
-        return F.when(x.rlike(f"(^| )({words})( |$)"), y).otherwise(x)
-
-    return F.transform(lines, spelled)
+    return F.transform(lines, lambda x: F.when(x.rlike(f"(?<![^ ])({words})(?![^ ])"), spelled(x)).otherwise(x))
 
 
 def digests_of(lines: Column) -> Column:
@@ -152,8 +153,10 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     license_id is that of the licence whose canonical text the whole text has
     (else null); notices lists, in order and comma-separated, the licences
     whose canonical text a line of it has (none: empty). A null or empty text
-    has the digest of no characters. Ids may be null or repeat. ``known`` is a
-    (digest, license_id) table of unique digests. Other columns are ignored.
+    has the digest of no characters. Texts of any length are read whole. Ids
+    may be null or repeat: each row is scanned by itself. ``known`` is a
+    (digest, license_id) table of unique digests. Other columns are ignored,
+    whatever their names; an empty table gives an empty one.
     """
     if known is None:
         known = known_digests(docs.sparkSession)

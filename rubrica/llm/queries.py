@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,33 +69,30 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
-def _canonical_sql() -> tuple[str, str]:
-    """SQL for the canonical form with its lines apart, and for one canonical line's spellings."""
-    text, line = "lower(coalesce(text, ''))", "x"
-    steps = licenses._steps()
-    for old, new in steps[:5]:
-        text = f"regexp_replace({text}, '{old}', {_sql_text(new)}, 'g')"
-    for old, new in steps[5:]:
-        line = f"regexp_replace({line}, '{old}', '{new}', 'g')"
-    words = "|".join(a for a, _ in licenses.SPELLINGS)
-    return text, f"CASE WHEN regexp_matches(x, '(^| )({words})( |$)') THEN {line} ELSE x END"
-
-
-def _sql_text(s: str) -> str:
-    return "chr(10)" if s == "\n" else f"'{s}'"
+#: Spellings as SQL reads them, written for the SQL alone.
+_SPELL = """MAP {'acknowledgement': 'acknowledgment', 'analogue': 'analog', 'analyse': 'analyze', 'artefact': 'artifact', 'authorisation': 'authorization', 'authorised': 'authorized', 'calibre': 'caliber', 'cancelled': 'canceled',
+ 'capitalisations': 'capitalizations', 'catalogue': 'catalog', 'categorise': 'categorize', 'centre': 'center', 'emphasised': 'emphasized', 'favour': 'favor', 'favourite': 'favorite', 'fulfil': 'fulfill', 'fulfilment': 'fulfillment',
+ 'https': 'http', 'initialise': 'initialize', 'judgement': 'judgment', 'labelling': 'labeling', 'labour': 'labor', 'licence': 'license', 'licences': 'licenses', 'licenced': 'licensed', 'maximise': 'maximize', 'modelled': 'modeled',
+ 'modelling': 'modeling', 'noncommercial': 'non commercial', 'offence': 'offense', 'optimise': 'optimize', 'organisation': 'organization', 'organise': 'organize', 'practise': 'practice', 'programme': 'program', 'realise': 'realize',
+ 'recognise': 'recognize', 'signalling': 'signaling', 'sublicence': 'sublicense', 'utilisation': 'utilization', 'whilst': 'while', 'wilful': 'willful', 'wilfull': 'willful'}"""
 
 
 def _op8() -> str:
-    text, line = _canonical_sql()
-    known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
-    lines = f"list_transform(list_filter(string_split({text}, chr(10)), lambda x: x <> '' AND NOT regexp_matches(x, '{licenses.COPYRIGHT}')), lambda x: {line})"
+    """The scan against fixed digests, made once by a plain program from the licences' texts."""
+    fixed = files("rubrica.llm").joinpath("license_texts/digests.csv").read_text("utf-8").split()[1:]
+    known = ", ".join("('{}', '{}')".format(*row.split(",")) for row in fixed)
+    # spaces doubled, so that neighbouring phrases don't share one
+    phrase = "replace(' ' || replace(l, ' ', '  ') || ' ', ' copyright  holder ', ' copyright  owner ')"
+    phrase = f"replace(replace({phrase}, ' per  cent ', ' percent '), ' sub  license ', ' sublicense ')"
     return f"""
-WITH known AS (SELECT sha256(array_to_string({lines}, ' ')) AS digest, min(license_id) AS license_id FROM (VALUES {known}) AS t(license_id, text) GROUP BY 1),
-lined AS (SELECT row_number() OVER () AS r, doc_id, {lines} AS lines FROM documents),
-notices AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-            FROM (SELECT r, sha256(unnest(lines)) AS d FROM lined) u JOIN known ON known.digest = u.d GROUP BY r)
-SELECT doc_id, sha256(array_to_string(lines, ' ')) AS text_digest, license_id, coalesce(notices, '') AS notices
-FROM lined LEFT JOIN known ON known.digest = sha256(array_to_string(lines, ' ')) LEFT JOIN notices USING (r)
+WITH known AS (SELECT * FROM (VALUES {known}) AS t(digest, license_id)), spelling AS (SELECT {_SPELL} AS m),
+rows AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+raw AS (SELECT r, i, trim(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS x FROM (SELECT r, unnest(string_split(replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '©', 'c'), chr(10))) AS x, unnest(range(1, len(string_split(replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '©', 'c'), chr(10))) + 1)) AS i FROM rows)),
+kept AS (SELECT r, i, array_to_string(list_transform(string_split(x, ' '), lambda w: coalesce(m[w], w)), ' ') AS l FROM raw, spelling WHERE x <> '' AND NOT regexp_matches(x, '^(copyright|c) (c |[0-9])') AND x <> 'all rights reserved'),
+lines AS (SELECT r, i, trim(replace({phrase}, '  ', ' ')) AS l FROM kept),
+whole AS (SELECT r, doc_id, sha256(coalesce(string_agg(l, ' ' ORDER BY i), '')) AS text_digest FROM rows LEFT JOIN lines USING (r) GROUP BY r, doc_id),
+notices AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM lines JOIN known ON digest = sha256(l) GROUP BY r)
+SELECT doc_id, text_digest, license_id, coalesce(notices, '') AS notices FROM whole LEFT JOIN known ON digest = text_digest LEFT JOIN notices USING (r)
 """
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 import public_tokenizers
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rubrica.llm import common, exact, html_text, licenses, mixing, packing, quality, queries, rules, sharding, simhash, tokens
@@ -566,6 +567,35 @@ def test_licenses_entire_texts_and_usual_notices(spark):
         assert (r.license_id if kind == "whole" else r.notices) == name, r.doc_id
 
 
+def test_spellings_are_settled_in_one_go(spark):
+    """Neighbouring spellings all change, and a canonical line is canonical again."""
+    lines = [" ".join([a, a, a]) for a, _ in licenses.SPELLINGS] + ["licence licence centre", "wilful wilfull willful", "per cent per cent", "sub license sub licence", "x copyright holder copyright holder", "nothing else"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string").select("x", licenses.spelled(F.col("x")).alias("y"))
+    for r in df.select("x", "y", licenses.spelled(F.col("y")).alias("z")).collect():
+        assert r.y == r.z, r.x
+        if r.x in (" ".join([a, a, a]) for a, _ in licenses.SPELLINGS):
+            a = r.x[: len(r.x) // 3]
+            assert r.y == " ".join([dict(licenses.SPELLINGS)[a]] * 3)
+    got = {r.x: r.y for r in df.collect()}
+    assert got["licence licence centre"] == "license license center" and got["wilful wilfull willful"] == "willful willful willful"
+    assert got["sub license sub licence"] == "sublicense sublicense"
+
+
+def test_licenses_of_tables_with_clashing_columns(spark):
+    rows = [(1, "Released under the MIT Licence!", "d", "l", "n", 7), (1, "Released under the MIT Licence!", None, None, None, None), (None, None, "d", "l", "n", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, license_id string, notices string, row int")
+    got = licenses.scan_licenses(df).collect()
+    assert Counter((r.doc_id, r.license_id, r.notices) for r in got) == {(1, "MIT", "MIT"): 2, (None, None, ""): 1}
+
+
+def test_fixed_digests_are_the_known_ones(spark):
+    """The digests that the SQL has were made by another program, of the same texts."""
+    from pathlib import Path
+
+    fixed = (Path(licenses.__file__).parent / "license_texts/digests.csv").read_text().split()[1:]
+    assert {(r.digest, r.license_id) for r in licenses.known_digests(spark).collect()} == {tuple(x.split(",")) for x in fixed}
+
+
 # --- 9
 
 
