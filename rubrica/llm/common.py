@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,13 +51,19 @@ class Workspace:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
     A table that is written and read again cuts lineage, outlives any
-    executor, and has a known size, by which Spark chooses its joins.
+    executor, and has a known size, by which Spark chooses its joins. Results
+    read these tables when they run, so they stay until swept() is left.
     """
 
+    #: The folders of workspaces opened inside of swept(), innermost last.
+    watched: ClassVar[list[list[str]]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/rubrica/{name}-{uuid.uuid4().hex[:12]}"
         self.made = 0
+        if Workspace.watched:
+            Workspace.watched[-1].append(self.root)
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -70,9 +79,23 @@ class Workspace:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table made by keep() that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._rubrica_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df._rubrica_path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Deletes the workspaces opened inside; what was made of them must be written by then."""
+    Workspace.watched.append([])
+    try:
+        yield
+    finally:
+        for folder in Workspace.watched.pop():
+            _delete(spark, folder)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -28,8 +28,8 @@ from tokenizers import Tokenizer
 from rubrica.llm.common import Workspace, bound_batches
 from rubrica.llm.tokens import vocabulary_path
 
-#: Words whose ids one worker remembers; the memo is emptied when full.
-MEMO = 1 << 19
+#: Words whose ids one worker remembers, and characters of the longest; the memo is emptied when full.
+MEMO, MEMO_CHARS = 1 << 19, 64
 # The pre-tokenizer's pattern for lower-case texts within Latin-1 (fixed values).
 _L = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -61,7 +61,7 @@ class WordIds(dict):
         found = {w: raw[a:b] for w, a, b in zip(new, cuts, cuts[1:], strict=False)}
         if len(self) + len(found) > MEMO:
             self.clear()
-        self.update(found)
+        self.update((w, i) for w, i in found.items() if len(w) <= MEMO_CHARS)
         return found
 
     def whole(self, text: str) -> bytes:

@@ -173,10 +173,13 @@ def held_out(id_: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", **settings: float) -> Additive:
     """Fits on labelled documents that aren't held out.
 
-    At most ``sample_rows`` labels are used, those of the smallest id hashes;
-    so the ids that are broadcast, and the features that come to the driver,
-    are bounded. Labels other than 0 and 1, and ids without a document, are
-    passed over; a document or label that repeats counts each time.
+    At most ``sample_rows`` labels are used, those of the smallest id hashes,
+    and at most as many labelled rows where ids repeat; so the ids that are
+    broadcast, and the features that come to the driver, are bounded. Labels
+    other than 0 and 1, and ids without a document, are passed over; a document
+    or label that repeats counts each time. Null and wordless texts have
+    features of zero. Other columns are ignored, whatever their names. Without
+    labelled rows the model says 0.5.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("y")).orderBy(F.xxhash64("_id"), "_id", "y").limit(sample_rows)
@@ -189,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, label_c
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["_id", "y", "x"])
 
     kind = rows.schema[0].dataType.simpleString()
-    got = sorted(((r["_id"], r["y"], list(r["x"])) for r in rows.mapInArrow(run, f"_id {kind}, y double, x array<double>").collect()), key=lambda r: (str(r[0]), r[1], r[2]))
+    made = rows.mapInArrow(run, f"_id {kind}, y double, x array<double>")
+    made = made.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("y", "x")).limit(sample_rows)
+    got = sorted(((r["_id"], r["y"], list(r["x"])) for r in made.collect()), key=lambda r: (str(r[0]), r[1], r[2]))
     x = np.array([r[2] for r in got]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in got]), **settings)
 
@@ -209,7 +214,8 @@ def score_quality(docs: DataFrame, model: Additive, threshold: float = 0.3, id_c
     """(id, held_out, score, predicted) of each row, by its whole text alone.
 
     Null and wordless texts have the score of all-zero features. Ids may be
-    null (not held out) or repeat. Other columns are ignored.
+    null (not held out) or repeat. Other columns are ignored, whatever their
+    names; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,5 +229,10 @@ def score_quality(docs: DataFrame, model: Additive, threshold: float = 0.3, id_c
 
 
 def keep_good(docs: DataFrame, model: Additive, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score is under the threshold."""
+    """``docs`` without the rows whose score is under the threshold, all columns kept, whatever their names.
+
+    Null and wordless texts have the score of all-zero features; ids don't
+    matter, rows that repeat are all kept or all dropped. An empty table gives
+    an empty one.
+    """
     return bound_batches(docs).where(scorer(model)(F.col(text_col).cast("binary")) >= threshold)

@@ -22,8 +22,8 @@ from tokenizers import pre_tokenizers
 
 from rubrica.llm.common import bound_batches
 
-#: Pieces whose counts one worker remembers; the memo is emptied when full, which changes no result.
-MEMO = 1 << 19
+#: Pieces whose counts one worker remembers, and characters of the longest; the memo is emptied when full, which changes no result.
+MEMO, MEMO_CHARS = 1 << 19, 64
 
 # Letters and numbers of Latin-1, as the pre-tokenizer's \p{L} and \p{N} have them (fixed values).
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -74,9 +74,10 @@ class MergeCounter(dict):
 
     def __missing__(self, piece: str) -> int:
         n = self.merged(piece.encode("utf-8"))
-        if len(self) >= MEMO:
-            self.clear()
-        self[piece] = n
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = n
         return n
 
     def merged(self, piece: bytes) -> int:

@@ -60,6 +60,18 @@ def test_token_counts_are_the_library_s(spark, docs, none, sf_dir):
     assert tokens.count_tokens(none).count() == 0
 
 
+def test_batch_bytes_are_read_as_spark_reads_them(spark, docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("64m", str(common.BATCH_BYTES)), ("1g", str(common.BATCH_BYTES)), ("2m", "2m"), ("4096", "4096")):
+            spark.conf.set(key, given)
+            common.bound_batches(docs)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_merging_random_strings():
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     count = tokens.counter("byte_bpe_50k.json").count
@@ -321,6 +333,37 @@ def test_quality_edge_cases(spark, docs, none):
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_what_comes_to_the_driver_is_bounded(spark, none):
+    """Ids that many documents share give no more labelled rows than the sample has."""
+    docs = spark.createDataFrame([(1, f"good prose number {i}, of its own.") for i in range(300)] + [(4, f"bad $$$ {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (4, 0), (4, 0)], "doc_id long, quality int")
+    held = {i for i in (1, 4) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert not held
+    seen = []
+    fit, quality.fit = quality.fit, lambda x, y, **k: seen.append(len(y)) or fit(x, y, **k)
+    try:
+        quality.train(docs, labels, sample_rows=50)
+        quality.train(docs, labels)
+    finally:
+        quality.fit = fit
+    assert seen == [50, 900]
+
+
+def test_scores_are_sums_of_table_entries(spark, sf_dir):
+    """The score of each document, looked up entry by entry."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        x = quality.features((r.text or "").encode())
+        total = model.bias
+        for v, edges, table in zip(x, model.edges, model.tables):
+            total += table[sum(e <= v for e in edges)]
+        for i, j, ei, ej, table in model.pairs:
+            total += table[sum(e <= x[i] for e in ei)][sum(e <= x[j] for e in ej)]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-max(-30, min(30, total)))))
+
+
 def test_interactions_learn_what_no_single_feature_shows():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
