@@ -301,3 +301,49 @@ def map_match(pred: Column, gold: Column) -> Column:
     entries = F.map_entries(gold)
     hits = F.size(F.filter(entries, lambda e: F.coalesce(F.element_at(pred, e["key"]) == e["value"], F.lit(False))))
     return F.when(F.size(entries) == 0, 1.0).otherwise(hits / F.size(entries))
+
+
+# --- written forms
+
+
+def detokenised(c: Column) -> Column:
+    """Tokens as running text: no blanks inside brackets and quotes, before n't, and before stops."""
+    for old, new in ((" n't", "n't"), (" )", ")"), ("( ", "("), ('" ', '"'), (' "', '"')):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return F.regexp_replace(c, " (?=['.,])", "")
+
+
+def sanitised(c: Column) -> Column:
+    """A name that every file system takes: one pair of underscores for each run of signs it may not have."""
+    return F.regexp_replace(c, r'["<>:/|\\?*\[\]]+', "__")
+
+
+def caption_tokens(c: Column) -> Column:
+    """Words of a caption as treebanks part them, in lower case and without punctuation: it's is it and 's, don't is do and n't."""
+    parted = F.regexp_replace(F.lower(c), r"([^\p{L}\p{N}'\-.]|\.(?!\d)|(?<!\d)\.|--)", " ")
+    parted = F.regexp_replace(F.regexp_replace(parted, r"(?<=\w)(n't)\b", " $1"), r"(?<=\w)('(?:s|re|ve|ll|d|m))\b", " $1")
+    return F.filter(tokens(parted), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+
+
+def math_value(c: Column) -> Column:
+    """The number that an answer in LaTeX or plain figures is: fractions, percent signs and thousands' commas are read; else null."""
+
+    def read(t: Column) -> Column:
+        form = r"^(-?)\\?[dt]?(?:frac)?\{?(-?\d+(?:\.\d+)?)\}?(?:/|\{)(-?\d+(?:\.\d+)?)\}?$"
+        top, bottom = (F.regexp_extract(t, form, g).try_cast("double") for g in (2, 3))
+        sign = F.when(F.regexp_extract(t, form, 1) == "-", -1.0).otherwise(1.0)
+        return F.coalesce(number(t), sign * F.try_divide(top, bottom))
+
+    plain = F.regexp_replace(c, r"\\[,;!: ]|\\left|\\right|\$|\s+|(?<=\d),(?=\d{3}\b)", "")
+    return let(read, F.replace(plain, F.lit("\\%"), F.lit("%")))
+
+
+def math_equal(pred: Column, gold: Column, tolerance: float = 1e-4) -> Column:
+    """1.0 if two answers are the same number within a relative tolerance, or the same text but for blanks and LaTeX spacing."""
+
+    def same(p: Column, g: Column, x: Column, y: Column) -> Column:
+        bare = lambda t: F.regexp_replace(F.lower(t), r"\\[,;!: ]|\\left|\\right|\$|\s+|\\text\{([^{}]*)\}", "$1")
+        close = F.abs(p - g) <= tolerance * F.greatest(F.lit(1.0), F.abs(g))
+        return F.when(p.isNotNull() & g.isNotNull(), close).otherwise(F.coalesce(bare(x) == bare(y), F.lit(False))).cast("double")
+
+    return let(same, math_value(pred), math_value(gold), pred, gold)

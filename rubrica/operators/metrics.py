@@ -367,16 +367,18 @@ def closure(members: DataFrame) -> DataFrame:
             return found
 
 
-def roll_up(results: DataFrame, members: DataFrame, weighted: bool = True) -> DataFrame:
+def roll_up(results: DataFrame, members: DataFrame, weighted: bool = True, how: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Group metrics from task metrics (task, metric, filter_key, value, stderr, n).
 
-    The mean is weighted by size or not; the error is pooled; the group's
-    direction is null where its members disagree.
+    The mean is weighted by size or not, or ``how`` makes an aggregate of
+    (value, n); the error is pooled; the group's direction is null where its
+    members disagree.
     """
     joined = results.join(members.select("group", F.col("member").alias("task")), "task")
     w = F.col("n") if weighted else F.lit(1)
     pooled = F.sqrt(F.sum((F.col("n") - 1) * F.pow("stderr", 2) * F.col("n")) / (F.sum("n") - F.count("*")) / F.sum("n"))
-    out = [(F.sum(F.col("value") * w) / F.sum(w)).alias("value"), pooled.alias("stderr"), F.sum("n").alias("n")]
+    value = F.sum(F.col("value") * w) / F.sum(w) if how is None else how(F.col("value"), F.col("n"))
+    out = [value.alias("value"), pooled.alias("stderr"), F.sum("n").alias("n")]
     if "higher_is_better" in results.columns:
         out.append(F.when(F.min("higher_is_better") == F.max("higher_is_better"), F.max("higher_is_better")).alias("higher_is_better"))
     return joined.groupBy("group", "metric", "filter_key").agg(*out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rubrica.operators import queries_fields, queries_metrics, queries_rows, queries_tasks, queries_text  # noqa: F401
+from rubrica.operators import queries_fields, queries_metrics, queries_more, queries_rows, queries_tasks, queries_text  # noqa: F401
 from rubrica.operators.registry import QUERIES, SQL
 
 

@@ -139,9 +139,15 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 
 def write_submission(df: DataFrame, path: str, format: str = "json") -> None:
-    """Predictions in one file, as JSON lines or CSV."""
+    """Predictions in one file, as JSON lines, CSV (quotes doubled, as read_table() reads them) or lines of text (of the one column)."""
     writer = df.coalesce(1).write.mode("overwrite")
-    writer.option("header", True).csv(path) if format == "csv" else writer.json(path)
+    match format:
+        case "csv":
+            writer.option("header", True).option("escape", '"').csv(path)
+        case "text":
+            writer.text(path)
+        case _:
+            writer.json(path)
 
 
 def write_results(results: DataFrame, path: str, config: Mapping | None = None) -> None:

@@ -223,3 +223,117 @@ def test_judge_batches_keep_their_order(spark):
     finally:
         del E.PROVIDERS["echo"]
     assert len(rows) == 50 and all(r.judge_response == f"{r.id}!" for r in rows)
+
+
+def test_task_files_with_metric_lists(spark, tmp_path):
+    (tmp_path / "t.yaml").write_text("""
+task: letters
+output_type: generate_until
+doc_to_text: "Q: {{ q }}"
+doc_to_target: golds
+num_fewshot: 2
+fewshot_config: {sampler: first_n}
+process_docs: !function longer
+metric_list:
+  - metric: exact_match
+    aggregation: mean
+    higher_is_better: true
+    ignore_case: true
+    regexes_to_ignore: ["[.]"]
+  - metric: anls
+    aggregation: !function best
+""")
+    task = E.task_from(E.load_yaml(str(tmp_path / "t.yaml"), {"longer": lambda d: d.where("doc_id < 3"), "best": F.max}))
+    assert task.fewshot == 2 and task.sampler == "first_n" and [m.name for m in task.metric_list()] == ["exact_match", "anls"]
+    docs = spark.createDataFrame([(0, "a", ["x", "Y"]), (1, "b", ["z"]), (2, "c", ["abcd"]), (3, "d", ["w"])], "doc_id long, q string, golds array<string>")
+    prompts = {r.doc_id: r.prompt for r in E.instances(docs, E.Task(**{**task.__dict__, "doc_to_target": "q"})).collect()}
+    assert prompts[2] == "Q: a a\n\nQ: b b\n\nQ: c" and set(prompts) == {0, 1, 2}
+    resp = spark.createDataFrame([("letters", i, 0, 0, r) for i, r in enumerate((" y. ", "x", "abcx", "w"))], "task string, doc_id long, idx int, repeat int, resp string")
+    got = {r.metric: (r.value, r.stderr, r.n, r.n_shot) for r in E.evaluate(docs, resp, task).collect()}
+    assert got["exact_match"] == (pytest.approx(1 / 3), pytest.approx(1 / 3), 3, 2)
+    assert got["anls"] == (0.75, None, 3, 2)
+    with pytest.raises(ValueError, match="no scorer"):
+        E.evaluate(docs, resp, E.Task("letters", doc_to_target="golds", metrics=("unheard_of",)))
+
+
+def test_choices_by_text_and_out_of_range(spark):
+    docs = spark.createDataFrame([(0, "b"), (1, "zz"), (2, "a")], "doc_id long, answer string")
+    resp = spark.createDataFrame([("t", d, i, l, g) for d, ls in ((0, (2.0, 1.0)), (1, (1.0, 2.0)), (2, (1.0, 1.0))) for i, (l, g) in enumerate(zip(ls, (True, False)))], "task string, doc_id long, idx int, loss double, greedy boolean")
+    task = E.Task("t", "multiple_choice", "?", "answer", ("a", "b"), metrics=("acc", "exact_match"))
+    got = {r.metric: r.value for r in E.evaluate(docs, resp, task).collect()}
+    assert got == {"acc": pytest.approx(2 / 3), "exact_match": pytest.approx(1 / 3)}
+
+
+def test_random_shots_stand_in_prompts(spark):
+    docs = spark.createDataFrame([(i, f"q{i}", f"a{i}") for i in range(12)], "doc_id long, q string, a string")
+    task = E.Task("t", doc_to_text="{{ q }}?", doc_to_target="a", fewshot=3, description="D: ")
+    for r in E.instances(docs, task).collect():
+        *shots, own = r.prompt.removeprefix("D: ").split("\n\n")
+        assert len(shots) == 3 and own == f"q{r.doc_id}?" and f"q{r.doc_id}? a{r.doc_id}" not in shots
+        assert all(s.split("? a")[0][1:] == s.split("? a")[1] for s in shots)
+
+
+def test_bleu_of_several_references_and_mcc_of_classes(spark):
+    df = spark.createDataFrame([("the the the the the the the".split(), ["the cat is on the mat".split(), "there is a cat on the mat".split()])], "p array<string>, g array<array<string>>")
+    r = df.agg(metrics.bleu_of(metrics.precision_parts(F.col("p"), F.col("g"), 1), 1).alias("b")).first()
+    assert r.b == pytest.approx(100 * 2 / 7)
+    pairs = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (2, 2)], "g int, p int")
+    assert pairs.agg(metrics.matthews_classes(F.col("g"), F.col("p"), 3).alias("m")).first().m == pytest.approx((3 * 4 - 5) / math.sqrt((16 - 6) * (16 - 6)))
+
+
+def test_parts_and_positions_without_groups(spark):
+    df = spark.range(0, 103).select(F.col("id"), (F.col("id") * 37 % 103).alias("k"))
+    rows = selection.divide(df, 7, ["k"]).collect()
+    want = Counter(min(k // 15, 5) if k < 75 else 5 + (k - 75) // 14 for k in range(103))
+    assert Counter(r.part for r in rows) == want
+    assert all((r.part <= s.part) == (r.k <= s.k) or r.part == s.part for r in rows for s in rows[:5])
+    assert {r.k: r.chunk for r in selection.chunks(df, 10, ["k"]).collect()} == {k: k // 10 for k in range(103)}
+    assert selection.divide(df.limit(0), 3, ["k"]).count() == 0
+
+
+def test_closure_of_any_depth_and_circles(spark):
+    chain = [(f"g{i}", f"g{i + 1}") for i in range(20)] + [("g20", "g18")]
+    got = {(r.group, r.member): r.depth for r in metrics.closure(spark.createDataFrame(chain, "group string, member string")).collect()}
+    assert got["g0", "g20"] == 20 and got["g19", "g18"] == 2 and ("g20", "g20") not in got
+    assert len(got) == sum(range(1, 21)) + 3
+
+
+def test_archives_plugins_and_paths(spark, tmp_path, monkeypatch):
+    import tarfile
+    import zipfile
+
+    from rubrica import plugins
+    from rubrica.functions import filters
+
+    (tmp_path / "a.txt").write_text("A")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.write(tmp_path / "a.txt", "d/a.txt")
+    with tarfile.open(tmp_path / "w.tar", "w") as t:
+        t.add(tmp_path / "a.txt", "b.txt")
+    raw = (tmp_path / "w.tar").read_bytes()
+    (tmp_path / "p.tar.part0").write_bytes(raw[:300])
+    (tmp_path / "p.tar.part1").write_bytes(raw[300:])
+    out = io.unpacked([str(tmp_path / n) for n in ("z.zip", "p.tar.part1", "p.tar.part0")], str(tmp_path / "out"))
+    assert [os.path.relpath(p, tmp_path / "out") for p in out] == ["p/b.txt", "z/d/a.txt"]
+    assert io.media_files(spark, [str(tmp_path / "out")]).count() == 2
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../x", "x")
+    with pytest.raises(ValueError):
+        io.unpacked([str(tmp_path / "bad.zip")], str(tmp_path / "out"))
+    (tmp_path / "brought.py").write_text("from rubrica.functions import filters\n\n@filters.register('brought')\ndef brought():\n    return lambda r: r\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setenv("RUBRICA_PLUGINS", "brought")
+    assert plugins.load() == ["brought"] and "brought" in filters.FILTERS
+
+
+def test_poisson_counts(spark):
+    for mean in (0.5, 7.0, 300.0):
+        r = spark.range(4000).select(metrics.poisson(F.lit(mean), F.col("id")).alias("x")).agg(F.avg("x").alias("m"), F.var_samp("x").alias("v")).first()
+        assert abs(r.m - mean) < 4 * math.sqrt(mean / 4000) and abs(r.v / mean - 1) < 0.12
+
+
+def test_math_answers(spark):
+    from rubrica.functions import text as T
+
+    for a, b, same in ((r"\frac{1}{2}", "0.5", 1.0), (r"-\dfrac{3}{4}", "-0.75", 1.0), ("1,200", "1200", 1.0), (r"50\%", "0.5", 1.0), ("3/4", ".75", 1.0), (r"x + 1", "x+1", 1.0), (r"\text{blue}", "Blue", 1.0), ("2", "3", 0.0), ("", "1", 0.0)):
+        assert spark.range(1).select(T.math_equal(F.lit(a), F.lit(b)).alias("x")).first().x == same, (a, b)
