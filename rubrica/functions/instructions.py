@@ -1,7 +1,8 @@
 """Checks of whether a response follows an instruction, as boolean Column expressions.
 
 CHECKS maps an instruction's name to a function (response, arguments), where
-arguments are plain values or columns.
+arguments are plain values or columns. The names and the option strings are
+fixed values.
 """
 
 from __future__ import annotations

@@ -149,12 +149,20 @@ def ngrams(words: Column, n: int) -> Column:
     """Runs of n tokens, joined by a space."""
     if n == 1:
         return words
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+    def runs(w: Column) -> Column:
+        joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(joined)
+
+    return let(runs, words)
 
 
 def char_ngrams(c: Column, n: int) -> Column:
-    c = F.regexp_replace(c, r"\s+", "")
-    return F.when(F.length(c) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    def runs(t: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) < n, F.array().cast("array<string>")).otherwise(cut)
+
+    return let(runs, F.regexp_replace(c, r"\s+", ""))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -248,15 +248,17 @@ def precision_parts(pred: Column, golds: Column, order: int = 4) -> Column:
     reference that has it most, and the length is that of the reference
     nearest to the prediction's, the shorter on ties.
     """
-    from rubrica.functions.text import ngrams, numbered
+    from rubrica.functions.text import let, ngrams, numbered
 
-    def part(n: int) -> Column:
-        mine = numbered(ngrams(pred, n))
-        theirs = F.array_distinct(F.flatten(F.transform(golds, lambda g: numbered(ngrams(g, n)))))
-        return F.array(F.size(F.array_intersect(mine, theirs)), F.greatest(F.size(pred) - (n - 1), F.lit(0)))
+    def parts(p: Column, gs: Column) -> Column:
+        def part(n: int) -> Column:
+            theirs = F.array_distinct(F.flatten(F.transform(gs, lambda g: numbered(ngrams(g, n)))))
+            return F.array(F.size(F.array_intersect(numbered(ngrams(p, n)), theirs)), F.greatest(F.size(p) - (n - 1), F.lit(0)))
 
-    nearest = F.array_min(F.transform(golds, lambda g: F.struct(F.abs(F.size(g) - F.size(pred)).alias("off"), F.size(g).alias("n"))))["n"]
-    return F.struct(*(part(n).alias(f"n{n}") for n in range(1, order + 1)), F.size(pred).alias("pred"), F.coalesce(nearest, F.lit(0)).alias("gold"))
+        nearest = F.array_min(F.transform(gs, lambda g: F.struct(F.abs(F.size(g) - F.size(p)).alias("off"), F.size(g).alias("n"))))["n"]
+        return F.struct(*(part(n).alias(f"n{n}") for n in range(1, order + 1)), F.size(p).alias("pred"), F.coalesce(nearest, F.lit(0)).alias("gold"))
+
+    return let(parts, pred, golds)
 
 
 @register("bleu")

@@ -189,10 +189,15 @@ def elo_two_model(t: Tables) -> DataFrame:
     return M.elo_ratings(battles, "a", "b", "winner", "baseline").withColumn("rating", F.round("rating", 2))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT event_id % 5 AS a, (event_id + 1 + event_id % 4) % 5 AS b, CASE WHEN value > 50 THEN 1.0 WHEN value > 25 THEN 0.5 ELSE 0 END AS s FROM events),
+p AS (SELECT a, b, sum(s)::DOUBLE AS w, count(*)::DOUBLE AS n FROM b WHERE a <> b GROUP BY 1, 2), l AS (SELECT list(a ORDER BY a, b) AS a, list(b ORDER BY a, b) AS b, list(w ORDER BY a, b) AS w, list(n ORDER BY a, b) AS n FROM p),
+wins AS (SELECT list_transform(range(5), lambda i: list_sum(list_transform(range(1, len(a) + 1), lambda j: CASE WHEN a[j] = i THEN w[j] WHEN b[j] = i THEN n[j] - w[j] ELSE 0 END))) AS v FROM l),
+s(k, s) AS (SELECT 0, [1.0, 1, 1, 1, 1]::DOUBLE[] UNION ALL SELECT k + 1, list_transform(t, lambda x: x / exp(list_avg(list_transform(t, lambda y: ln(y))))) FROM (SELECT k,
+ list_transform(range(5), lambda i: greatest(1e-12, v[i + 1] / list_sum(list_transform(range(1, len(a) + 1), lambda j: CASE WHEN a[j] = i OR b[j] = i THEN n[j] / (s[a[j] + 1] + s[b[j] + 1]) ELSE 0 END)))) AS t FROM s, l, wins WHERE k < 200))
+SELECT m::VARCHAR AS model, round(1000 + 400 * log10(s[m + 1] / s[1]), 4) AS rating FROM s, (SELECT unnest(range(5)) AS m) WHERE k = 200""")
 def elo_many_models(t: Tables) -> DataFrame:
     battles = t.events.select((F.col("event_id") % 5).cast("string").alias("a"), ((F.col("event_id") + 1 + F.col("event_id") % 4) % 5).cast("string").alias("b"), F.when(F.col("value") > 50, "a").when(F.col("value") > 25, "tie").otherwise("b").alias("winner"))
-    return M.elo_ratings(battles.where("a <> b"), "a", "b", "winner", "0")
+    return M.elo_ratings(battles.where("a <> b"), "a", "b", "winner", "0").select("model", rounded(F.col("rating"), "rating", 4))
 
 
 @query("""SELECT round(avg(iou), 6) AS mean_iou, round(avg(CASE WHEN iou >= 0.5 THEN 1.0 ELSE 0 END), 6) AS acc_50, round(avg(inside), 6) AS centre FROM (

@@ -142,9 +142,15 @@ def cider(t: Tables) -> DataFrame:
     return M.cider(cand, refs).select("id", rounded(F.col("cider"), "cider"))
 
 
-@query()
+@query("""SELECT p_partkey, damerau_levenshtein(p_name, p_type)::INT AS distance, CASE WHEN 1 - damerau_levenshtein(p_name, reverse(p_name)) / length(p_name)::DOUBLE >= 0.9 THEN 1.0::DOUBLE ELSE 0 END AS near FROM part""")
 def damerau_near_match(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", arrow.damerau_levenshtein("p_name", "p_type").alias("distance"), arrow.near_match(F.col("p_name"), F.reverse("p_name")).alias("near"), rounded(arrow.block_ratio("p_name", "p_type"), "ratio"))
+    return t.part.select("p_partkey", arrow.damerau_levenshtein("p_name", "p_type").alias("distance"), arrow.near_match(F.col("p_name"), F.reverse("p_name")).alias("near"))
+
+
+@query()
+def block_ratios(t: Tables) -> DataFrame:
+    """Matching blocks: no SQL finds them."""
+    return t.part.select("p_partkey", rounded(arrow.block_ratio("p_name", "p_type"), "ratio"))
 
 
 @query("""WITH x AS (SELECT p_partkey, replace(p_name, ' ', '') AS a, replace(p_type, ' ', '') AS b FROM part UNION ALL SELECT -1 - p_partkey, replace(p_name, ' ', ''), replace(p_name || p_type, ' ', '') FROM part)
@@ -259,3 +265,22 @@ def rolling_windows(t: Tables) -> DataFrame:
 def throughput(t: Tables) -> DataFrame:
     n = F.size(T.tokens(F.col("text"))) * 1.5
     return t.conversations.select("conv_id", "turn", rounded(n, "tokens"), rounded(F.try_divide(n, F.col("turn") + 1), "per_second"))
+
+
+_ANSWER = "text || CASE doc_id % 4 WHEN 0 THEN ' *bold* [name] THE END.' WHEN 1 THEN chr(10) || 'P.S. see <<A title>>' WHEN 2 THEN chr(10) || '* one' || chr(10) || '- two' ELSE ' spam' END"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {_ANSWER} AS r FROM documents)
+SELECT doc_id, contains(lower(r), 'the') AND contains(lower(r), 'of') AS existence, NOT regexp_matches(r, '(?i)\bspam\b') AS forbidden, len(regexp_extract_all(r, '(?i)the')) >= 20 AS frequency, len(regexp_extract_all(lower(r), 'e')) < 300 AS letters,
+ len(regexp_extract_all(r, '\[.*?\]')) >= 1 AS placeholders, regexp_matches(lower(r), '(?m)\s*p\.\s?s\..*$') AS postscript, len(regexp_extract_all(r, '(?m)^\s*\*[^\*].*$')) + len(regexp_extract_all(r, '(?m)^\s*-.*$')) = 2 AS bullets,
+ len(list_filter(regexp_extract_all(r, '<<[^\n]+>>'), lambda x: trim(translate(x, '<>', '')) <> '')) > 0 AS title, len(list_filter(regexp_extract_all(r, '\*[^\n\*]*\*'), lambda x: trim(translate(x, '*', '')) <> '')) + len(list_filter(regexp_extract_all(r, '\*\*[^\n\*]*\*\*'), lambda x: trim(translate(x, '*', '')) <> '')) >= 1 AS highlights,
+ ends_with(lower(regexp_replace(trim(r, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '^"+|"+$', '', 'g')), 'the end.') AS ending, regexp_matches(r, '(?m)^\s*The') AS started, r = upper(r) AND r <> lower(r) AS upper_case, contains(r, 'My answer is yes.') OR contains(r, 'My answer is no.') OR contains(r, 'My answer is maybe.') AS constrained FROM d""")
+def instruction_marks(t: Tables) -> DataFrame:
+    """Whole texts with one of four endings, against thirteen checks."""
+    d, c, r = t.documents.select("doc_id", F.expr(_ANSWER).alias("r")), instructions.CHECKS, F.col("r")
+    checks = {
+        "existence": c["keywords:existence"](r, ["the", "of"]), "forbidden": c["keywords:forbidden_words"](r, ["spam"]), "frequency": c["keywords:frequency"](r, "the", 20, "at least"), "letters": c["keywords:letter_frequency"](r, "e", 300, "less than"),
+        "placeholders": c["detectable_content:number_placeholders"](r, 1), "postscript": c["detectable_content:postscript"](r, "P.S."), "bullets": c["detectable_format:number_bullet_lists"](r, 2), "title": c["detectable_format:title"](r),
+        "highlights": c["detectable_format:number_highlighted_sections"](r, 1), "ending": c["startend:end_checker"](r, "The end."), "started": c["multi-turn:constrained_start"](r, "The"), "upper_case": c["change_case:english_capital"](r), "constrained": c["detectable_format:constrained_response"](r),
+    }
+    return d.select("doc_id", *(x.alias(k) for k, x in checks.items()))

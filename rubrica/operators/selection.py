@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubrica.functions.geometry import cosine
-from rubrica.functions.text import ngrams, tokens
+from rubrica.functions.text import let, tokens
 from rubrica.sources.staging import staged
 
 
@@ -245,13 +245,19 @@ def safe_name(name: str) -> str:
 def decontaminated(items: DataFrame, corpus: DataFrame, words: int = 8, item_id: str = "item_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(item_id, documents): in how many documents of the corpus some run of ``words`` words of an item's text is found; 0 for none.
 
-    Runs are compared in lower case. Those of the items are the smaller side;
-    a run that many documents share is met once a document and item.
+    Runs are compared in lower case, by 128 bits of hashes, so that no run's
+    text is made or shuffled. Null texts have none; ids are unique.
     """
-    runs = lambda df, key: df.select(key, F.explode(F.array_distinct(ngrams(tokens(F.lower(text)), words))).alias("run"))
-    mine = runs(items, item_id).select(item_id, F.xxhash64("run").alias("h"), "run")
-    theirs = runs(corpus, doc_id).select(doc_id, F.xxhash64("run").alias("h"), "run")
-    met = theirs.join(mine, ["h", "run"]).groupBy(item_id, doc_id).agg(F.count("*").alias("runs"))
+
+    def runs(df: DataFrame, key: str) -> DataFrame:
+        def hashes(w: Column) -> Column:
+            each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.struct(F.xxhash64(F.slice(w, i, words)).alias("h"), F.xxhash64(F.lit(1), F.slice(w, i, words)).alias("g")))
+            return F.when(F.size(w) >= words, each)
+
+        return df.select(key, F.explode(let(hashes, tokens(F.lower(text)))).alias("r")).select(key, "r.h", "r.g")
+
+    mine = runs(items, item_id).distinct()
+    met = runs(corpus, doc_id).join(mine, ["h", "g"]).select(item_id, doc_id).distinct()
     found = met.groupBy(item_id).agg(F.count("*").alias("documents"))
     return items.select(item_id).join(found, item_id, "left").select(item_id, F.coalesce("documents", F.lit(0).cast("long")).alias("documents"))
 
