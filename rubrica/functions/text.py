@@ -105,7 +105,7 @@ def numbered(a: Column) -> Column:
     def number(s: Column) -> Column:
         return F.transform(s, lambda x, i: F.concat_ws("\x01", x, (i + 1 - F.array_position(s, x)).cast("string")))
 
-    return let(number, F.array_sort(a))
+    return let(number, F.sort_array(a))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -208,23 +208,16 @@ _BLANKS = " \t\n\r\f\x0b"
 
 def number(c: Column) -> Column:
     """A double where the text is a plain number, as a percentage over 100; else null."""
-
-    def read(t: Column) -> Column:
-        share = t.endswith("%")
-        plain = F.when(share, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
-        return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?%?$"), plain.try_cast("double") / F.when(share, 100.0).otherwise(1.0))
-
-    return let(read, F.btrim(c, F.lit(_BLANKS)))
+    t = F.btrim(c, F.lit(_BLANKS))
+    value = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?%?$"), F.rtrim(t, F.lit("%")).try_cast("double"))
+    return value / F.when(t.endswith("%"), 100.0).otherwise(1.0)
 
 
 def relaxed_match(pred: Column, gold: Column, tolerance: float = 0.05) -> Column:
     """Numbers within a relative tolerance; anything else, and a target of 0, equal but for case."""
-
-    def match(p: Column, g: Column, x: Column, y: Column) -> Column:
-        close = F.abs(p - g) / F.abs(g) <= tolerance
-        return F.when(p.isNotNull() & g.isNotNull() & (g != 0), close).otherwise(F.lower(x) == F.lower(y)).cast("double")
-
-    return let(match, number(pred), number(gold), pred, gold)
+    p, g = number(pred), number(gold)
+    # null where a side is no number, or the target is 0
+    return F.coalesce(F.try_divide(F.abs(p - g), F.abs(g)) <= tolerance, F.lower(pred) == F.lower(gold)).cast("double")
 
 
 def relative_accuracy(pred: Column, gold: Column) -> Column:

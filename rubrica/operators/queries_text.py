@@ -15,10 +15,15 @@ _PAIRS = "(SELECT a.conv_id, a.turn, a.text AS gold, b.text AS pred FROM convers
 
 
 def pairs(t: Tables) -> DataFrame:
-    """Neighbouring turns of a conversation: the first as target, the second as prediction."""
+    """Neighbouring turns of a conversation: the first as target, the second as prediction.
+
+    Few bytes but much work a row: as many tasks as a shuffle has, not as few
+    as the bytes would fill.
+    """
     c = t.conversations
     a = c.select("conv_id", "turn", F.col("text").alias("gold"))
-    return a.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred")), ["conv_id", "turn"])
+    both = a.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred")), ["conv_id", "turn"])
+    return both.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @query(r"""SELECT p_partkey, CASE WHEN regexp_replace(lower(p_name), '[[:punct:][:digit:]]', '', 'g') = regexp_replace(lower(p_type), '[[:punct:][:digit:]]', '', 'g') THEN 1.0::DOUBLE ELSE 0 END AS em,
@@ -73,8 +78,6 @@ def wer_corpus(t: Tables) -> DataFrame:
 def ter_corpus(t: Tables) -> DataFrame:
     """Translation edit rate of neighbouring turns: no SQL finds the moves."""
     p = pairs(t).select(T.tokens(F.lower("pred")).alias("p"), T.tokens(F.lower("gold")).alias("g"))
-    # few bytes but much work a row: as many tasks as a shuffle has, not as few as its bytes would fill
-    p = p.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))
     return p.agg(rounded(M.error_rate(arrow.translation_edits("p", "g"), F.size("g")), "ter"))
 
 
