@@ -136,7 +136,7 @@ def split_quotas(quotas: DataFrame, n_shards: int, n_quotas: int, seed: int = 7,
 
 
 class Mix:
-    """The plan of a mix: ``sources`` and ``cuts`` (one row each) and ``blocks`` (one row for each block)."""
+    """The plan of a mix: ``sources`` (one row each), and ``blocks`` and ``drawn`` (one row for each block)."""
 
     def __init__(self, docs: DataFrame, share: float, cap: float, weights: tuple[int, ...], n_shards: int | None, shard_words: int, seed: int, id_col: str, text_col: str, source_col: str):
         self.space = space = Workspace(docs.sparkSession, "mixing")
@@ -155,7 +155,8 @@ class Mix:
         total, self.n_quotas = self.sources.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum(F.col("passes") + 1), F.lit(0))).first()
         self.n_shards = n_shards or max(8, 1 << max(0, int(total // shard_words)).bit_length())
         self.blocks = space.keep(self._blocks(), "blocks")
-        self.cuts = space.keep(self._cuts(), "cuts")
+        # written, so that Spark knows how small it is and no document is shuffled to meet it
+        self.drawn = space.keep(self._drawn(), "drawn")
 
     def hash(self) -> Column:
         parts = [F.col(c) for c in (self.id_col, self.text_col, self.source_col)]
@@ -210,8 +211,8 @@ class Mix:
         of_last = lambda c: F.max(F.when(F.col("last"), F.col(c)))
         return units.groupBy("sid", "block").agg(whole.alias("shards"), of_last("state").alias("state"), of_last("left").alias("words_left"), of_last("shard").alias("shard"))
 
-    def _cuts(self) -> DataFrame:
-        """(sid, taken, one, one_shard): the hashes taken in the block in which a target ends, and one more document, if it comes nearer to the target."""
+    def _drawn(self) -> DataFrame:
+        """(sid, block, shards, shard, taken, one, one_shard): the blocks with the hashes taken of the one in which a target ends, and one more document of the source, if it comes nearer to the target."""
         last = self.blocks.where("state = 1").select("sid", "block", "words_left")
         inside = self.base.select("sid", "block", "h", "size").join(last, ["sid", "block"])
         # about sqrt(n) documents of a source, in hash order: each that fits what is left
@@ -223,15 +224,14 @@ class Mix:
         spare = spare.where((F.col("block") != F.col("at")) | ~F.array_contains("taken", F.col("h")))
         off = F.abs(F.col("size") - F.col("short"))
         one = spare.where(off < F.col("short")).groupBy("sid").agg(F.min(F.struct(off.alias("off"), "h", "shard")).alias("x")).select("sid", F.col("x.h").alias("one"), F.col("x.shard").alias("one_shard"))
-        return cut.select("sid", "at", "taken").join(one, "sid", "left")
+        ends = cut.select("sid", F.col("at").alias("block"), "taken")
+        return self.blocks.drop("state", "words_left").join(ends, ["sid", "block"], "left").join(one, "sid", "left")
 
     def draws(self, placed: DataFrame) -> DataFrame:
         """Adds ``shards``, the shard of each copy drawn (an empty array: none), to rows with (sid, block, h)."""
-        cut = self.cuts.select("sid", F.col("at").alias("block"), "taken")
-        one = self.cuts.where("one is not null").select("sid", "one", "one_shard")
-        rows = placed.join(self.blocks.join(cut, ["sid", "block"], "left").join(one, "sid", "left"), ["sid", "block"])
+        rows = placed.join(self.drawn, ["sid", "block"])
         edge = F.when(F.array_contains("taken", F.col("h")), F.array("shard")).when(F.col("h") == F.col("one"), F.array("one_shard"))
-        return rows.withColumn("shards", F.concat("shards", F.coalesce(edge, F.array().cast("array<int>")))).drop("state", "words_left", "shard", "taken", "one", "one_shard")
+        return rows.withColumn("shards", F.concat("shards", F.coalesce(edge, F.array().cast("array<int>")))).drop("shard", "taken", "one", "one_shard")
 
 
 def mix_plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, n_shards: int | None = None, shard_words: int = 1 << 23, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
